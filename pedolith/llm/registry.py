@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pedolith.llm.common import table
 from pedolith.llm.exact_dedup import exact_dedup
+from pedolith.llm.licenses import scan
+from pedolith.llm.mixing import mix
 from pedolith.llm.quality import quality
 
 WS_SQL = r"[\x20\x09-\x0D]+"
@@ -24,6 +26,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     m = F.col("measures")
@@ -36,10 +43,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op4_license_scan": op4_license_scan,
         "op8_quality_rules": op8_quality_rules,
+        "op10_source_mix": op10_source_mix,
     }
 
 
