@@ -61,6 +61,24 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Bits of the map that probably_in() sends to every executor: 2 MB, whatever the input.
+MAP_BITS = 1 << 24
+
+
+def probably_in(rows: DataFrame, key: str, keys: DataFrame, keys_col: str, negate: bool = False) -> DataFrame:
+    """Rows whose key is perhaps among keys (negate: those whose key certainly is not), told where the rows are read.
+
+    A bit map of fixed size is built from the keys and broadcast, so that a join that follows moves
+    only the rows that may match. With too many keys for the map it lets all rows through."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bits = keys.select(slot(F.col(keys_col)).alias("s")).groupBy((F.col("s") / 64).cast("long").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_bits"))
+    s = fresh(rows, "slot")
+    out = rows.withColumn(s, slot(F.col(key)))
+    out = out.join(F.broadcast(bits), (F.col(s) / 64).cast("long") == F.col("_word"), "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned(_bits, cast({s} % 64 as int)) & 1L"), F.lit(0).cast("long")) == 1
+    return out.where(~hit if negate else hit).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 # --- words, vectorised over an Arrow string column ---------------------------------------------
 
 _SPACE = np.zeros(256, bool)
