@@ -11,6 +11,7 @@ from pedolith.llm.licenses import scan
 from pedolith.llm.minhash import near_duplicates
 from pedolith.llm.mixing import mix
 from pedolith.llm.quality import quality
+from pedolith.llm.repeats import sentence_span_dedup, suffix_array_dedup
 
 WS_SQL = r"[\x20\x09-\x0D]+"
 NOT_WS_SQL = r"[^\x20\x09-\x0D]+"
@@ -27,6 +28,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_span_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
@@ -67,7 +76,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_sentence_spans": op3_sentence_spans,
         "op4_license_scan": op4_license_scan,
+        "op7_suffix_array": op7_suffix_array,
         "op8_quality_rules": op8_quality_rules,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_source_mix": op10_source_mix,
