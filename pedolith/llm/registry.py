@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pedolith.llm.common import table
 from pedolith.llm.exact_dedup import exact_dedup
 from pedolith.llm.licenses import scan
+from pedolith.llm.lm import score
 from pedolith.llm.minhash import near_duplicates
 from pedolith.llm.mixing import mix
 from pedolith.llm.quality import quality
@@ -32,6 +33,12 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_span_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score(table(spark, sf_dir, "documents"))
+    # one row per row: those that share id and text have the same scores
+    return scored.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("_", "rows")
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(table(spark, sf_dir, "documents"))
 
@@ -78,6 +85,7 @@ def queries() -> dict:
         "op1_exact_dedup": op1_exact_dedup,
         "op3_sentence_spans": op3_sentence_spans,
         "op4_license_scan": op4_license_scan,
+        "op6_lm_score": op6_lm_score,
         "op7_suffix_array": op7_suffix_array,
         "op8_quality_rules": op8_quality_rules,
         "op9_minhash_dedup": op9_minhash_dedup,
