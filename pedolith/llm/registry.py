@@ -13,6 +13,7 @@ from pedolith.llm.minhash import near_duplicates
 from pedolith.llm.mixing import mix
 from pedolith.llm.quality import quality
 from pedolith.llm.repeats import sentence_span_dedup, suffix_array_dedup
+from pedolith.llm.sentencepieces import decode, encode
 
 WS_SQL = r"[\x20\x09-\x0D]+"
 NOT_WS_SQL = r"[^\x20\x09-\x0D]+"
@@ -33,6 +34,12 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_span_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode(encode(table(spark, sf_dir, "documents"), merges=True))
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(chr(0x2581)), F.lit(" "))
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "merge_ids", same.alias("round_trip"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(table(spark, sf_dir, "documents"))
     # one row per row: those that share id and text have the same scores
@@ -85,6 +92,7 @@ def queries() -> dict:
         "op1_exact_dedup": op1_exact_dedup,
         "op3_sentence_spans": op3_sentence_spans,
         "op4_license_scan": op4_license_scan,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_lm_score": op6_lm_score,
         "op7_suffix_array": op7_suffix_array,
         "op8_quality_rules": op8_quality_rules,
