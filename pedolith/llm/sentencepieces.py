@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -290,7 +291,7 @@ def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "decod
     model = Model.load(model_path)
 
     @F.pandas_udf("string")
-    def text_of(ids: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def text_of(ids: pd.Series) -> pd.Series:
         return ids.map(lambda x: None if x is None else decode_ids(model, x))
 
     return encoded.withColumn(out_col, text_of(F.col(ids_col)))
