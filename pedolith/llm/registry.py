@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pedolith.llm.chat import REPLY, link_tool_calls, turns_as_calls
 from pedolith.llm.common import table
 from pedolith.llm.exact_dedup import exact_dedup
 from pedolith.llm.licenses import scan
@@ -30,6 +31,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_tool_calls(turns_as_calls(table(spark, sf_dir, "conversations")), spark.sql(REPLY))
+    return linked.withColumn("errors", F.array_join("errors", ","))
+
+
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_span_dedup(table(spark, sf_dir, "documents"))
 
@@ -90,6 +96,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_chat_format": op2_chat_format,
         "op3_sentence_spans": op3_sentence_spans,
         "op4_license_scan": op4_license_scan,
         "op5_sentencepiece": op5_sentencepiece,
