@@ -17,13 +17,14 @@ BANDS, ROWS = 36, 6
 #: Bits retained of each minimum.
 BITS = 2
 #: Standard deviations that the estimate may fall below the threshold before a pair is dismissed.
-MARGIN = 7.0
+MARGIN = 5.5
 #: Text bytes hashed at a time: the arrays of one piece stay in the CPU's cache.
 PIECE = 1 << 18
 #: Members of a bucket up to which the pairs left after the first round are listed; larger buckets go on by pivots.
-SMALL_BUCKET = 16
-PIVOTS = 16
+SMALL_BUCKET = 96
+PIVOTS = 64
 
+_PRINT = np.uint64(0x1234567)
 SIGNATURE = "id long, n_shingles long, f1 long, f2 long, bands array<long>, planes array<long>"
 
 
@@ -39,7 +40,7 @@ def _signatures(offsets: np.ndarray, data: np.ndarray, lo: int, hi: int, width:
     prints = np.zeros((2, n), np.uint64)
     minima = np.zeros((k, n), np.uint64)
     if len(h):
-        prints[0, has] = np.add.reduceat(mix(h ^ np.uint64(0x1234567)), at)
+        prints[0, has] = np.add.reduceat(mix(h ^ _PRINT), at)
         prints[1, has] = np.add.reduceat(mix(h ^ np.uint64(0x89ABCDEF01)), at)
         seeds = mix(np.arange(1, 2 * k + 1, dtype=np.uint64))
         tmp = np.empty_like(h)
@@ -84,33 +85,45 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SIGNATURE)
 
 
+def _with_prints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        offsets, data = text_buffers(batch.column(1))
+        for lo, hi in chunks(offsets, PIECE):
+            h, doc = shingles(Words(offsets, data, lo, hi), width)
+            n = hi - lo
+            first, f = np.searchsorted(doc, np.arange(n)), np.zeros(n, np.uint64)
+            has = np.bincount(doc, minlength=n) > 0
+            if len(h):
+                f[has] = np.add.reduceat(mix(h ^ _PRINT), first[has])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(signed(f))], names=["id", "text", "f1"])
+
+
 def _confirm(threshold: int, width: int):
-    """Rows (a, b, fa, ta, fb, tb) -> the pairs whose full sets reach the threshold. A text that has not its
-    node's fingerprint (another row of the same id) is passed over."""
-
-    def one(column: pa.Array, prints: pa.Array):
-        offsets, data = text_buffers(column)
-        prints = prints.to_numpy(zero_copy_only=False)
-        cache: dict[int, np.ndarray | None] = {}
-        for i in range(len(prints)):
-            p = int(prints[i])
-            if p not in cache:
-                if len(cache) > 32:
-                    cache.clear()
-                h, _ = shingles(Words(offsets, data, i, i + 1), width)
-                with np.errstate(over="ignore"):
-                    cache[p] = h if int(signed(mix(h ^ np.uint64(0x1234567)).sum(dtype=np.uint64).reshape(1))[0]) == p else np.zeros(0, np.uint64)
-            yield cache[p]
+    """Rows (a, b, ta, tb) -> the pairs whose full sets reach the threshold; sets of recent nodes are remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, fa, ta, fb, tb = batch.columns
+            sets: list[list[np.ndarray]] = []
+            for nodes, column in ((batch.column(0), batch.column(2)), (batch.column(1), batch.column(3))):
+                offsets, data = text_buffers(column)
+                cache: dict[int, np.ndarray] = {}
+                found = []
+                for i, node in enumerate(nodes.to_pylist()):
+                    if node not in cache:
+                        if len(cache) > 64:
+                            cache.clear()
+                        cache[node] = shingles(Words(offsets, data, i, i + 1), width)[0]
+                    found.append(cache[node])
+                sets.append(found)
             good = []
-            for i, (x, y) in enumerate(zip(one(ta, fa), one(tb, fb), strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for i, (x, y) in enumerate(zip(*sets, strict=True)):
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 if both and 100 * both >= threshold * (len(x) + len(y) - both):
                     good.append(i)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(good, pa.int64())), b.take(pa.array(good, pa.int64()))], names=["a", "b"])
+            take = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=["a", "b"])
 
     return run
 
@@ -139,13 +152,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One pass gives each row a fingerprint of its set, band keys and b-bit minima packed in planes.
        Rows of equal sets are one node from here on, however many.
-    2. Nodes that share a band key stand in a bucket. Each member is paired with the bucket's first
-       node, not with all others. Pairs are estimated from bit counts of the packed minima; those not
-       clearly below the threshold are confirmed on the full sets, recomputed from the two texts.
+    2. Nodes that share a band key stand in a bucket. Each member is compared with one node of the
+       bucket, the one that meets most others in all its buckets (an original among its copies), by
+       size and by bit counts of the packed minima; pairs not clearly below the threshold are
+       confirmed on the full sets, recomputed from the texts of the nodes that have a candidate.
     3. Components are formed. A bucket whose members all stand in one component is settled. In the
-       others, members of different components are compared: all pairs in buckets of at most
-       SMALL_BUCKET, else with PIVOTS members at a time, until no unsettled bucket is left. So no
-       candidate is capped, and a large group of near copies costs a star, not its square.
+       others, members of different components are compared: all in buckets of at most
+       SMALL_BUCKET, else with about PIVOTS members at a time, until no unsettled bucket is left. So
+       no candidate is capped, and a large group of near copies costs stars, not its square.
 
     Null text counts as empty. Rows that share an id are separate rows and share their component's
     smallest id; kept compares null-safe, so a row with a null id alone in its component stays. An
@@ -156,49 +170,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = s.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("uid").alias("node"), F.min("id").alias("least_id"))
     classes = keep(classes, "classes")
-    nodes = s.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "id", "f1", "bands", "planes")
+    nodes = s.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "id", "f1", "n_shingles", "bands", "planes")
 
     members = nodes.select("node", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).where("c > 1")
-    members = keep(members.join(shared, "key").select("key", "node", "pivot"), "members")
-    # what is known of each node that has a candidate: its id, fingerprint and planes
-    known = keep(nodes.select("node", "id", "f1", "planes").join(members.select("node").distinct(), "node", "left_semi"), "nodes")
+    shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = keep(members.join(shared, "key").select("key", "node", "c"), "members")
+    # what is known of each node that has a candidate; weight: how many nodes it meets in all its buckets
+    weights = members.groupBy("node").agg(F.sum("c").alias("weight"))
+    known = keep(nodes.select("node", "id", "f1", "n_shingles", "planes").join(weights, "node"), "nodes")
+    f_id, f_print = F.col("id").alias("k_id"), F.col("f1").alias("k_f1")
+    texts = probably_in(source, "id", known.select("id"), "id").mapInArrow(lambda it: _with_prints(it, width), "id long, text string, f1 long")
+    texts = texts.join(known.select("node", f_id, f_print), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("f1") == F.col("k_f1"))).select("node", "text")
+    texts = keep(texts.dropDuplicates(["node"]), "texts")
 
     sure = threshold / 100.0
     k = bands * rows
     e = sure + (1 - sure) * 2.0**-BITS
     least = sure - MARGIN * (e * (1 - e) / k) ** 0.5 / (1 - 2.0**-BITS)
+    sizes = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (_estimate(bands, rows) >= least)
+    side = lambda df, n: df.select("key", F.col("node").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("planes").alias(f"p{n}"), *([F.col("comp").alias(f"c{n}")] if "comp" in df.columns else []))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-        side = lambda n: known.select(F.col("node").alias(n), F.col("id").alias(f"id{n}"), F.col("f1").alias(f"f{n}"), F.col("planes").alias(f"p{n}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate(bands, rows) >= least)
-        pairs = keep(pairs.select("a", "ida", "fa", "b", "idb", "fb"), "candidates")
-        needed = pairs.select(F.explode(F.array("ida", "idb")).alias("id")).distinct()
-        texts = probably_in(source, "id", needed, "id")
-        pairs = pairs.join(texts.select(F.col("id").alias("ja"), F.col("text").alias("ta")), F.col("ida").eqNullSafe(F.col("ja")))
-        pairs = pairs.join(texts.select(F.col("id").alias("jb"), F.col("text").alias("tb")), F.col("idb").eqNullSafe(F.col("jb")))
-        found = keep(pairs.select("a", "b", "fa", "ta", "fb", "tb").mapInArrow(_confirm(threshold, width), "a long, b long").distinct(), "links")
-        return found
-
-    links = confirmed(members.where("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")))
+        pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return keep(pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm(threshold, width), "a long, b long"), "links")
+
+    of_node = known.select("node", "n_shingles", "planes", "weight")
+    active = members.join(of_node, "node")
+    first = active.groupBy("key").agg(F.max(F.struct("weight", "node", "n_shingles", "planes")).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.n_shingles").alias("nb"), F.col("p.planes").alias("pb"))
+    links = confirmed(side(active, "a").join(first, "key").where((F.col("a") != F.col("b")) & sizes).select("a", "b"))
     comp = components(links)
-    active = members.where("node <> pivot").select("key", "node")
+    active = members.join(first.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").select("key", "node")
     while True:
         placed = active.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         open_keys = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
-        placed = keep(placed.join(open_keys, "key"), "active")
+        placed = keep(placed.join(open_keys, "key").join(of_node, "node"), "active")
         if placed.isEmpty():
             break
-        small = placed.where(F.col("c") <= SMALL_BUCKET)
-        left, right = (small.select("key", F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "xy")
-        pairs = left.join(right, "key").where("x < y and cx <> cy").select("x", "y")
-        large = placed.where(F.col("c") > SMALL_BUCKET)
-        chosen = large.groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("key", "node"), F.lit(1 << 20)) * F.col("c") < (PIVOTS << 20), F.struct("comp", "node"))), asc=False), 1, PIVOTS).alias("chosen"), F.max(F.struct("comp", "node")).alias("last"))
-        chosen = chosen.select("key", F.explode(F.array_union("chosen", F.array("last"))).alias("p")).select("key", F.col("p.node").alias("y"), F.col("p.comp").alias("cy"))
-        pairs = pairs.unionByName(large.join(chosen, "key").where("comp <> cy").select(F.col("node").alias("x"), "y"))
+        small, large = placed.where(F.col("c") <= SMALL_BUCKET), placed.where(F.col("c") > SMALL_BUCKET)
+        apart = F.col("ca") != F.col("cb")
+        pairs = side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & apart & sizes).select("a", "b")
+        # in large buckets about PIVOTS members drawn by a hash, and the one of the greatest weight
+        drawn = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 20)) * F.col("c") < (PIVOTS << 20)
+        best = large.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best")).select("key", F.col("best.node").alias("best"))
+        pivots = large.join(best, "key").where(drawn | (F.col("node") == F.col("best")))
+        pairs = pairs.unionByName(side(large, "a").join(side(pivots, "b"), "key").where((F.col("a") != F.col("b")) & apart & sizes).select("a", "b"))
         more = confirmed(pairs)
-        active = keep(large.join(chosen.select("key", F.col("y").alias("node")), ["key", "node"], "left_anti").select("key", "node"), "active")
+        active = keep(large.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node"), "active")
         forget(placed)
         if not more.isEmpty():
             links = keep(links.unionByName(more), "links")
