@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ MARGIN = 5.5
 #: Text bytes hashed at a time: the arrays of one piece stay in the CPU's cache.
 PIECE = 1 << 18
 #: Members of a bucket up to which the pairs left after the first round are listed; larger buckets go on by pivots.
-SMALL_BUCKET = 96
-PIVOTS = 64
+SMALL_BUCKET = 256
+PIVOTS = 128
 
 _PRINT = np.uint64(0x1234567)
 SIGNATURE = "id long, n_shingles long, f1 long, f2 long, bands array<long>, planes array<long>"
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(side(active, "a").join(first, "key").where((F.col("a") != F.col("b")) & sizes).select("a", "b"))
     comp = components(links)
     active = members.join(first.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-    while True:
+    for turn in itertools.count():
         placed = active.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         open_keys = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
         placed = keep(placed.join(open_keys, "key").join(of_node, "node"), "active")
@@ -212,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = F.col("ca") != F.col("cb")
         pairs = side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & apart & sizes).select("a", "b")
         # in large buckets about PIVOTS members drawn by a hash, and the one of the greatest weight
-        drawn = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 20)) * F.col("c") < (PIVOTS << 20)
+        drawn = F.pmod(F.xxhash64(F.lit(turn), "key", "node"), F.lit(1 << 20)) * F.col("c") < (PIVOTS << 20)
         best = large.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best")).select("key", F.col("best.node").alias("best"))
         pivots = large.join(best, "key").where(drawn | (F.col("node") == F.col("best")))
         pairs = pairs.unionByName(side(large, "a").join(side(pivots, "b"), "key").where((F.col("a") != F.col("b")) & apart & sizes).select("a", "b"))
