@@ -252,7 +252,7 @@ def mess(cells: DataFrame, reference: DataFrame, bands: list[str], most: int = 1
                 span = hi - lo if hi > lo else np.nan
                 s = np.where(f == 0, 100 * (v - lo) / span, np.where(f <= 50, 2 * f, np.where(f < 100, 2 * (100 - f), 100 * (hi - v) / span)))
                 best = np.fmin(best, np.where(np.isnan(v), np.nan, s))
-            yield pdf.assign(mess=best)
+            yield pdf.assign(mess=np.where(np.isinf(best), np.nan, best))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in cells.dtypes) + ", mess double"
     return cells.mapInPandas(run, schema)
