@@ -47,16 +47,16 @@ def sainte_lague(parties: DataFrame, group: str, key: str, votes: str, seats: st
     Seats that a party gets for certain are not dealt one by one: with q = votes * seats / all votes
     and K parties the result lies within 2qK/seats + 2 of q, and only quotients in that band (about
     six for each party) are compared. A party without votes gets no seat."""
-    p = parties.where(F.col(votes) > 0).select(group, key, F.col(votes).cast("double").alias("v"), F.col(seats).alias("n"))
-    g = Window.partitionBy(group)
+    p = parties.where(F.col(votes) > 0).select(F.col(group).alias("_g"), F.col(key).alias("_key"), F.col(votes).cast("double").alias("v"), F.col(seats).alias("n"))
+    g = Window.partitionBy("_g")
     p = p.withColumn("q", F.col("v") * F.col("n") / F.sum("v").over(g))
     p = p.withColumn("half", F.ceil(F.coalesce(2 * F.col("q") * F.count("*").over(g) / F.nullif("n", F.lit(0)), F.lit(0.0))) + 2)
     p = p.withColumn("base", F.greatest(F.lit(0).cast("long"), F.floor("q") - F.col("half"))).withColumn("top", F.floor("q") + F.col("half"))
     p = p.withColumn("left", F.col("n") - F.sum("base").over(g))
-    c = p.select(group, key, "base", "left", "v", F.explode(F.sequence("base", "top")).alias("k"))
-    order = Window.partitionBy(group).orderBy((F.col("v") / (2 * F.col("k") + 1)).desc(), key, "k")
-    won = c.withColumn("place", F.row_number().over(order)).groupBy(group, key)
-    return won.agg((F.first("base") + F.count_if(F.col("place") <= F.col("left"))).alias("quota"))
+    c = p.select("_g", "_key", "base", "left", "v", F.explode(F.sequence("base", "top")).alias("k"))
+    order = Window.partitionBy("_g").orderBy((F.col("v") / (2 * F.col("k") + 1)).desc(), "_key", "k")
+    won = c.withColumn("place", F.row_number().over(order)).groupBy("_g", "_key")
+    return won.agg((F.first("base") + F.count_if(F.col("place") <= F.col("left"))).alias("quota")).withColumnsRenamed({"_g": group, "_key": key})
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 20, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
