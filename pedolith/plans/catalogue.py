@@ -831,3 +831,67 @@ def image_search(spark, d):
     e = T(spark, d, "events").select(F.col("event_id").alias("item_id"), "ts", F.col("value").alias("cloud_cover"), (F.col("user_id") % 40).cast("double").alias("xmin"))
     e = e.withColumns({"xmax": F.col("xmin") + 10, "ymin": F.lit(0.0), "ymax": F.lit(1.0)})
     return zonal.search_items(e, (5.0, 0.0, 20.0, 1.0), "2024-01-05", "2024-01-25", 80, 5).select(F.col("item_id").alias("image_id"), "xmin", "cloud_cover")
+
+
+# --- composed workflows -----------------------------------------------------------------------
+
+
+@query()
+def sample_quality(spark, d):
+    """Hull, nearest neighbours, bias and sd ratio of a regular, a random and a stratified design."""
+    cells = part_cells(spark, d).withColumn("stratum", F.floor(F.col("size") / 10))
+    two = ["size", "price"]
+    designs = {
+        "regular": sampling.regular(cells, 4),
+        "random": sampling.simple_random(cells, 100, 7, "cell_id"),
+        "stratified": sampling.stratified_equal(cells, "stratum", 20, 7, "cell_id"),
+    }
+    rows = [(k, *sampling.sample_metrics(s, cells, two).values()) for k, s in designs.items()]
+    return spark.createDataFrame(rows, "design string, hull_area double, mean_nn double, bias double, sd_ratio double")
+
+
+@query()
+def optimum_sample_size(spark, d):
+    cells = part_cells(spark, d)
+    return sampling.optimum_size(cells, ["size", "price"], [10, 40, 90], runs=1, bins=10, iterations=50).select("size", r6(F.col("mean_kl")).alias("mean_kl"))
+
+
+@query()
+def polypedon_sites(spark, d):
+    cells = part_cells(spark, d).withColumn("zone", (F.col("cell_id") % 2).cast("int"))
+    return sampling.polypedon_sites(cells, cells.where("cell_id % 20 = 3"), "zone", ["size", "price"], 5, 50).select("zone", "cell_id", "cost")
+
+
+@query()
+def feature_elimination(spark, d):
+    t = _training(spark, d)
+    _, table = models.eliminate_features(t, [f"b{i}" for i in range(8)], "class", [2, 4, 8], 2, 1, trees=5)
+    return table
+
+
+@query()
+def shadow_feature_test(spark, d):
+    t = _training(spark, d)
+    return models.shadow_features(t, [f"b{i}" for i in range(4)], "class", runs=3, trees=5)
+
+
+@query()
+def tuned_forest(spark, d):
+    t = _training(spark, d)
+    grid = models.tuning_grid(8, [0.2, 0.5], [2], [5])
+    return models.tune(t, [f"b{i}" for i in range(8)], "class", grid, 2, 1)
+
+
+@query()
+def regression_diagnostics(spark, d):
+    li = T(spark, d, "lineitem")
+    x = ["l_quantity", "l_discount", "l_tax"]
+    v = models.sqrt_vif(li, x)
+    vif = spark.createDataFrame([(k, float(f)) for k, f in v.items()], "variable string, sqrt_vif double")
+    return models.sequential_anova(li, "l_extendedprice", x).join(vif, "variable").select("variable", F.round("f", 4).alias("f"), r6(F.col("sqrt_vif")).alias("sqrt_vif"))
+
+
+@query(f"WITH {_CONF}, m AS (SELECT *, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY pred) / sum(n) OVER () AS pp, sum(n) OVER (PARTITION BY obs) / sum(n) OVER () AS po FROM c), x AS (SELECT m.*, (SELECT max(po) FROM m z WHERE z.obs = m.pred) AS pred_as_obs, (SELECT max(pp) FROM m z WHERE z.pred = m.obs) AS obs_as_pred FROM m), a AS (SELECT max(t) AS n, sum(n / t) FILTER (pred = obs) AS acc, sum(pp * po) FILTER (pred = obs) AS pe, sum(n / t * (pp + po)) FILTER (pred = obs) AS cc, sum(n / t * power(pred_as_obs + obs_as_pred, 2)) AS dd FROM x) SELECT round((acc - pe) / (1 - pe), 6) AS kappa, round(sqrt(greatest(0, (acc * (1 - acc) / power(1 - pe, 2) + 2 * (1 - acc) * (2 * acc * pe - cc) / power(1 - pe, 3) + power(1 - acc, 2) * (dd - 4 * pe * pe) / power(1 - pe, 4)) / n)), 6) AS se FROM a")
+def kappa_interval(spark, d):
+    a = assess.accuracy_kappa(assess.confusion(_predictions(spark, d), "pred", "obs"))
+    return a.select(r6(F.col("kappa")).alias("kappa"), r6(F.col("se")).alias("se"))
