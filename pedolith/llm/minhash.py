@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +20,10 @@ BITS = 2
 MARGIN = 5.5
 #: Text bytes hashed at a time: the arrays of one piece stay in the CPU's cache.
 PIECE = 1 << 18
-#: Members of a bucket up to which the pairs left after the first round are listed; larger buckets go on by pivots.
-SMALL_BUCKET = 256
-PIVOTS = 128
+#: Members of a bucket up to which the pairs left after the stars are listed; larger buckets form families.
+SMALL_BUCKET = 48
+#: Nodes and text bytes of a block of a family: a task holds two blocks.
+BLOCK_NODES, BLOCK_BYTES = 512, 8 << 20
 
 _PRINT = np.uint64(0x1234567)
 SIGNATURE = "id long, n_shingles long, f1 long, f2 long, bands array<long>, planes array<long>"
@@ -129,6 +129,75 @@ def _confirm(threshold: int, width: int):
     return run
 
 
+def _between_blocks(threshold: int, width: int, least: float, k: int):
+    """Nodes of two blocks of a family -> links that join components, at most one less than nodes.
+
+    Components known so far stand as they are. Pairs across the blocks (within the block, where both
+    are one) whose sizes and bit counts allow the threshold are confirmed on their full sets, the
+    likeliest first, and passed over once their components have met."""
+    words = -(-k // 64)
+    chance = 2.0**-BITS
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, comp, size, own = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "own"))
+        one_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        planes = np.array(table.column("planes").to_pylist(), np.int64).view(np.uint64)
+        offsets, data = text_buffers(table.column("text"))
+        _, label = np.unique(comp, return_inverse=True)
+        parent = np.arange(label.max() + 1 if len(label) else 0)
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        left, right = (np.arange(len(node)), np.arange(len(node))) if one_block else (np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min()))
+        found = []
+        for lo in range(0, len(left), 64):
+            rows = left[lo : lo + 64]
+            differ = np.zeros((len(rows), len(right)), np.int64)
+            for w in range(words):
+                d = np.zeros(differ.shape, np.uint64)
+                for bit in range(BITS):
+                    x = planes[:, bit * words + w]
+                    d |= x[rows][:, None] ^ x[right][None, :]
+                differ += np.bitwise_count(d)
+            likely = ((k - differ) / k - chance) / (1 - chance)
+            a, b = size[rows][:, None], size[right][None, :]
+            ok = (likely >= least) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b)) & (label[rows][:, None] != label[right][None, :])
+            if one_block:
+                ok &= rows[:, None] < right[None, :]
+            x, y = np.nonzero(ok)
+            found.append((likely[x, y], rows[x], right[y]))
+        likely, x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+        sets: dict[int, np.ndarray] = {}
+
+        def of(r):
+            if r not in sets:
+                sets[r] = shingles(Words(offsets, data, r, r + 1), width)[0]
+            return sets[r]
+
+        out_a, out_b = [], []
+        for at in np.argsort(-likely, kind="stable").tolist():
+            p, q = int(x[at]), int(y[at])
+            u, v = find(label[p]), find(label[q])
+            if u == v:
+                continue
+            s, t = of(p), of(q)
+            if len(s) > len(t):
+                s, t = t, s
+            both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+            if 100 * both >= threshold * (len(s) + len(t) - both):
+                parent[max(u, v)] = min(u, v)
+                out_a.append(int(node[p]))
+                out_b.append(int(node[q]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
 def _estimate(bands: int, rows: int):
     """Similarity from equal retained bits, corrected for chance: (e - 2^-b) / (1 - 2^-b)."""
     k = bands * rows
@@ -158,9 +227,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        size and by bit counts of the packed minima; pairs not clearly below the threshold are
        confirmed on the full sets, recomputed from the texts of the nodes that have a candidate.
     3. Components are formed. A bucket whose members all stand in one component is settled. In the
-       others, members of different components are compared: all in buckets of at most
-       SMALL_BUCKET, else with about PIVOTS members at a time, until no unsettled bucket is left. So
-       no candidate is capped, and a large group of near copies costs stars, not its square.
+       others, members of different components are compared: pair by pair in buckets of at most
+       SMALL_BUCKET; the nodes of larger ones form families, each node once, whose blocks of
+       BLOCK_NODES meet two by two in numpy and return only links that join components. No candidate
+       is capped, no task holds more than two blocks, and rows made stay linear in a group's nodes
+       but for its number of blocks.
 
     Null text counts as empty. Rows that share an id are separate rows and share their component's
     smallest id; kept compares null-safe, so a row with a null id alone in its component stays. An
@@ -202,27 +273,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = active.groupBy("key").agg(F.max(F.struct("weight", "node", "n_shingles", "planes")).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.n_shingles").alias("nb"), F.col("p.planes").alias("pb"))
     links = confirmed(side(active, "a").join(first, "key").where((F.col("a") != F.col("b")) & sizes).select("a", "b"))
     comp = components(links)
-    active = members.join(first.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-    for turn in itertools.count():
-        placed = active.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        open_keys = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
-        placed = keep(placed.join(open_keys, "key").join(of_node, "node"), "active")
-        if placed.isEmpty():
-            break
-        small, large = placed.where(F.col("c") <= SMALL_BUCKET), placed.where(F.col("c") > SMALL_BUCKET)
-        apart = F.col("ca") != F.col("cb")
-        pairs = side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & apart & sizes).select("a", "b")
-        # in large buckets about PIVOTS members drawn by a hash, and the one of the greatest weight
-        drawn = F.pmod(F.xxhash64(F.lit(turn), "key", "node"), F.lit(1 << 20)) * F.col("c") < (PIVOTS << 20)
-        best = large.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best")).select("key", F.col("best.node").alias("best"))
-        pivots = large.join(best, "key").where(drawn | (F.col("node") == F.col("best")))
-        pairs = pairs.unionByName(side(large, "a").join(side(pivots, "b"), "key").where((F.col("a") != F.col("b")) & apart & sizes).select("a", "b"))
-        more = confirmed(pairs)
-        active = keep(large.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node"), "active")
-        forget(placed)
-        if not more.isEmpty():
-            links = keep(links.unionByName(more), "links")
-            comp = components(links)
+    placed = members.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    open_keys = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c", F.col("lo").alias("hub"))
+    placed = keep(placed.join(open_keys, "key"), "open")
+    apart = F.col("ca") != F.col("cb")
+    small = placed.where(F.col("c") <= SMALL_BUCKET).join(of_node, "node")
+    few = confirmed(side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & apart & sizes).select("a", "b"))
+
+    # nodes of large open buckets, whole components with them: one row each in a family, dealt over its blocks
+    large = placed.where(F.col("c") > SMALL_BUCKET)
+    families = components(large.select(F.col("comp").alias("a"), F.col("hub").alias("b")).distinct())
+    in_family = large.select("node", "comp").distinct().join(families.select(F.col("node").alias("comp"), F.col("comp").alias("family")), "comp")
+    in_family = keep(in_family.join(known.select("node", "n_shingles", "planes"), "node").join(texts, "node"), "families")
+    blocks = in_family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = in_family.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n_shingles", "planes", "text")
+    many = dealt.groupBy("family", "i", "j").applyInArrow(_between_blocks(threshold, width, least, k), "a long, b long")
+    more = keep(few.unionByName(many), "links")
+    if not more.isEmpty():
+        comp = components(links.unionByName(more))
 
     least_of = comp.join(classes, "node").groupBy("comp").agg(F.min("least_id").alias("component_id"))
     of_class = classes.join(comp, "node", "left").join(least_of, "comp", "left")
