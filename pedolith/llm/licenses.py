@@ -96,8 +96,21 @@ def signature_rules() -> list[tuple[str, str, int, str, float]]:
     return rules
 
 
-#: No rule can match, and no base phrase stand, in a text without one of these (any case).
-GATE = r"(?i)licen[cs]|apache|gnu|\bmit\b|bsd|mozilla|creative|domain|rights reserved|general public|cc0|unlicense|clause|\bcc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|common development"
+#: No rule can match, and no base phrase stand, in a lower-case text without one of these or cc ... by.
+GATE = ("licens", "licenc", "gnu", "bsd", "creative", "cc0", "domain", "reserved")
+CC_BY = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
+
+
+def _gated(text: Column) -> Column:
+    """Plain substring searches; the one regex runs on texts with cc only."""
+
+    def any_of(low):
+        hit = F.contains(low, F.lit("cc")) & F.rlike(low, F.lit(CC_BY))
+        for keyword in GATE:
+            hit = F.contains(low, F.lit(keyword)) | hit
+        return hit
+
+    return let(F.lower(text), any_of)
 
 
 def _base(t: Column) -> Column:
@@ -171,8 +184,8 @@ def _resolved(hits: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A text is gated by one keyword regex, then each rule by its own keyword; only then do regexes
-    run. Labels are arrays, distinct and sorted; score is the confidence of the best detection that
+    A text is gated by keywords of all rules, then each rule by its own keyword; only then do
+    regexes run. Labels are arrays, distinct and sorted; score is the confidence of the best detection that
     was not suppressed, 1 where a base phrase stands, else 0. Null text counts as empty: no words,
     no labels, score 0. Rows stand alone: no shuffle, no state; other columns are ignored.
     """
@@ -187,7 +200,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     out = docs.select(
         F.col(id_col),
         F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
-        F.when(F.rlike(text, F.lit(GATE)), let(words, found)).alias("_found"),
+        F.when(_gated(text), let(words, found)).alias("_found"),
     )
     base, more = F.col("_found.base"), F.col("_found.more")
     none = F.array().cast("array<string>")
