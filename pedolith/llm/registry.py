@@ -12,7 +12,7 @@ from pedolith.llm.licenses import scan
 from pedolith.llm.lm import score
 from pedolith.llm.minhash import near_duplicates
 from pedolith.llm.mixing import mix
-from pedolith.llm.quality import quality
+from pedolith.llm.quality import RULES, STOP_WORDS, SYMBOLS, quality
 from pedolith.llm.repeats import sentence_span_dedup, suffix_array_dedup
 from pedolith.llm.sentencepieces import decode, encode
 
@@ -73,6 +73,30 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _failed_sql() -> str:
+    """The threshold table as SQL."""
+    import re
+
+    parts = []
+    for r in RULES:
+        m = re.sub(r"/ (\w+)", r"/ nullif(\1, 0)", r.measure)
+        tests = [f"{m} < {r.low}"] * (r.low is not None) + [f"{m} > {r.high}"] * (r.high is not None)
+        parts.append(f"CASE WHEN {' OR '.join(tests)} THEN '{r.name}' END")
+    return f"concat_ws(',', {', '.join(parts)})"
+
+
+OP8_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{WS_SQL}'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{NOT_WS_SQL}')) AS l FROM t),
+win AS (SELECT doc_id, i, w[i:i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w) AS n_words, length(regexp_replace(text, '{WS_SQL}', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}], x))) AS n_stop_words FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
+f AS (SELECT *, {_failed_sql()} AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed_rules = '' AS kept, failed_rules FROM f
+"""
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=85)
 
@@ -109,4 +133,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL, "op9_minhash_dedup": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_quality_rules": OP8_SQL, "op9_minhash_dedup": OP9_SQL}
