@@ -73,8 +73,6 @@ def _kmeans(df: DataFrame, features: list[str], k: int, seeds: range):
 def coverage(cells: DataFrame, n: int, tries: int = 10, seed: int = 1, id_col: str = "cell_id") -> DataFrame:
     """Spatial coverage: compact strata by k-means on (x, y), the best of several starts, and the cell nearest
     to each centre."""
-    from pyspark.ml.functions import vector_to_array  # noqa: F401
-
     model, _ = _kmeans(cells, ["x", "y"], n, range(seed, seed + tries))
     centres = [(i, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())]
     from pedolith.operators.zonal import nearest_cells

@@ -29,12 +29,6 @@ def rasterize(zones: DataFrame, key: str = "cell_id", zone: str = "zone") -> Dat
     return zones.groupBy(key).agg(F.max(zone).alias(zone))
 
 
-def buffer_cells(cells: DataFrame, grid: GridSpec, distance: float) -> DataFrame:
-    from pedolith.grid import dilate
-
-    return dilate(cells, grid, distance)
-
-
 def coarsen(cells: DataFrame, factor: int, bands: list[str]) -> DataFrame:
     """Block means, null cells left out of them."""
     block = [F.floor(F.col(c) / factor).cast("long").alias(c) for c in ("row", "col")]
