@@ -22,22 +22,32 @@ SPACES = " \t\n\x0b\f\r"
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails if `measure` (a SQL expression over the measures) is below `low` or above `high`;
-    a null measure (a ratio over nothing) fails no rule."""
+    """A document fails if scale * top / per (measures; top alone without per) is below `low` or above `high`; a
+    ratio over nothing fails no rule."""
 
     name: str
-    measure: str
+    top: str
+    per: str | None = None
+    scale: float | None = None
     low: float | None = None
     high: float | None = None
 
+    def value(self, m: Column) -> Column:
+        v = m[self.top] if self.scale is None else self.scale * m[self.top]
+        return v if self.per is None else v / F.nullif(m[self.per], F.lit(0))
+
+    def sql(self) -> str:
+        v = self.top if self.scale is None else f"{self.scale} * {self.top}"
+        return v if self.per is None else f"{v} / nullif({self.per}, 0)"
+
 
 RULES = (
     Rule("word_count", "n_words", low=50),
-    Rule("repeated_windows", "100.0 * n_repeat_words / n_words", high=50),
-    Rule("mean_word_length", "word_chars / n_words", low=2, high=15),
-    Rule("symbols_per_word", "n_symbols / n_words", high=0.25),
-    Rule("stop_word_share", "n_stop_words / n_words", low=0.03),
-    Rule("repeated_lines", "n_dup_lines / n_lines", high=0.5),
+    Rule("repeated_windows", "n_repeat_words", "n_words", 100.0, high=50),
+    Rule("mean_word_length", "word_chars", "n_words", low=2, high=15),
+    Rule("symbols_per_word", "n_symbols", "n_words", high=0.25),
+    Rule("stop_word_share", "n_stop_words", "n_words", low=0.03),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.5),
 )
 
 
@@ -96,12 +106,11 @@ def measures(text: Column) -> Column:
     return let(text, of)
 
 
-def verdict(m: str, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Names of the rules that the measures in struct column m fail."""
+def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Names of the rules that the measures in struct m fail."""
     failed = []
     for r in rules:
-        value = F.expr(_over(r.measure, m))
-        bad = F.lit(False)
+        value, bad = r.value(m), F.lit(False)
         if r.low is not None:
             bad = bad | F.coalesce(value < r.low, F.lit(False))
         if r.high is not None:
@@ -110,25 +119,15 @@ def verdict(m: str, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*failed))
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stop_words")
-
-
-def _over(expression: str, m: str) -> str:
-    """The expression with each measure read from struct m and each divisor 0 read as null."""
-    import re
-
-    expression = re.sub(r"/ (\w+)", r"/ nullif(\1, 0)", expression)
-    return re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"`{m}`.\1", expression)
-
-
 def quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with three more columns, named apart from those that docs has: measures (struct), failed
     rules (array of names) and kept (no rule failed), in that order at the end.
 
     A document without words fails the word count and no ratio. No row is added or lost; the
     projection has no shuffle, no Python and no state."""
-    m = fresh(docs, "measures")
-    out = docs.withColumn(m, measures(F.col(text_col)))
-    f = fresh(out, "failed")
-    out = out.withColumn(f, verdict(m, rules))
-    return out.withColumn(fresh(out, "kept"), F.size(f) == 0)
+    # one expression for measures and verdict: a filter on it that moves below the projection takes it along once
+    both = let(measures(F.col(text_col)), lambda m: F.struct(m.alias("measures"), verdict(m, rules).alias("failed")))
+    j = fresh(docs, "judged")
+    out = docs.withColumn(j, both)
+    names = fresh(out, "measures"), fresh(out, "failed"), fresh(out, "kept")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(j)["measures"].alias(names[0]), F.col(j)["failed"].alias(names[1]), (F.size(F.col(j)["failed"]) == 0).alias(names[2]))

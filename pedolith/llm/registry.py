@@ -75,12 +75,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _failed_sql() -> str:
     """The threshold table as SQL."""
-    import re
-
     parts = []
     for r in RULES:
-        m = re.sub(r"/ (\w+)", r"/ nullif(\1, 0)", r.measure)
-        tests = [f"{m} < {r.low}"] * (r.low is not None) + [f"{m} > {r.high}"] * (r.high is not None)
+        tests = [f"{r.sql()} < {r.low}"] * (r.low is not None) + [f"{r.sql()} > {r.high}"] * (r.high is not None)
         parts.append(f"CASE WHEN {' OR '.join(tests)} THEN '{r.name}' END")
     return f"concat_ws(',', {', '.join(parts)})"
 
