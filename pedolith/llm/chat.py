@@ -129,7 +129,8 @@ def link_tool_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
         .otherwise(F.lit("linked"))
     )
     t = t.withColumn("status", status).drop("first_call", "first_result")
-    t = t.join(tools.select(F.col("name").alias("tool"), "params"), F.col("name") == F.col("tool"), "left")
+    known = keep(tools.select(F.col("name").alias("tool"), "params"), "tools")
+    t = t.join(known, F.col("name") == F.col("tool"), "left")
     errors = F.when(F.col("kind") != "call", F.array().cast("array<string>")).when(F.col("tool").isNull(), F.array(F.lit("name: unknown tool"))).otherwise(_errors(F.col("arguments"), F.col("params")))
     t = t.withColumn("errors", errors).drop("tool", "params")
     out = _ordered(keep(plain.unionByName(t), "linked"))
