@@ -235,8 +235,12 @@ AROUND = "key long, id long, f long, p int, before binary, after binary"
 
 
 def _around(reach: int, length: int):
-    """Rows (id, f, text, places [key, p]) -> a row per place with 4 bytes for each of `reach` words before
-    it, nearest first, and after its prefix; fewer at the text's ends."""
+    """Rows (id, f, text, places [key, p, first]) -> a row per place with 4 bytes for each of `reach` words before
+    it, nearest first, and after its prefix; fewer at the text's ends.
+
+    Of places that are not their key's first, only the ends of a chain can reach beyond it: those
+    whose prefix overlaps or touches the next one's have an empty `after`, the next one an empty
+    `before`, and both are null inside the chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,9 +248,15 @@ def _around(reach: int, length: int):
             offsets, data = text_buffers(batch.column(2))
             for r in range(len(batch)):
                 w = Words(offsets, data, r, r + 1).hashes().astype(">u4")
-                key, p = (places[r].values.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-                before = [w[max(0, x - reach) : x][::-1].tobytes() for x in p.tolist()]
-                after = [w[x + length : x + length + reach].tobytes() for x in p.tolist()]
+                key, p, first = (places[r].values.field(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+                order = np.argsort(p, kind="stable")
+                key, p, first = key[order], p[order], first[order].astype(bool)
+                head, tail = np.ones(len(p), bool), np.ones(len(p), bool)
+                again = np.flatnonzero(~first)
+                near = p[again[1:]] <= p[again[:-1]] + length
+                head[again[1:][near]] = tail[again[:-1][near]] = False
+                before = [(w[max(0, x - reach) : x][::-1].tobytes() if h else b"") if h or t else None for x, h, t in zip(p.tolist(), head, tail, strict=True)]
+                after = [(w[x + length : x + length + reach].tobytes() if t else b"") if h or t else None for x, h, t in zip(p.tolist(), head, tail, strict=True)]
                 m = len(p)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([ids[r]] * m, pa.int64()), pa.array([fs[r]] * m, pa.int64()), pa.array(p.astype(np.int32)), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["key", "id", "f", "p", "before", "after"])
 
@@ -308,7 +318,8 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     1. Retained suffixes are counted by the hash of their first `length` words; unrepeated ones go.
     2. The others are sorted by key and by the words that follow; each is compared with its neighbours
        in that order and with its key's first occurrence, and the match extended left and right by up
-       to `window` words, beyond which the next minimiser's own match reaches.
+       to `window` words, beyond which the next minimiser's own match reaches. Suffixes inside a
+       chain of overlapping repeated ones have nothing to extend and go past the sort.
     3. Words that match an earlier occurrence are removed; the first occurrence stays.
 
     The suffixes of a key are dealt over parts of about `part_rows` by a hash, each sorted by itself
@@ -320,20 +331,22 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     suffixes = keep(source.mapInArrow(_suffixes(k, window, length), SUFFIXES), "suffixes")
     repeated = keep(suffixes.groupBy("key").agg(F.count("*").alias("c"), F.min(_order("p")).alias("first")).where("c > 1"), "repeated")
     live = probably_in(suffixes, "key", repeated, "key").join(repeated, "key")
-    places = keep(live.select("id", "f", "key", "p").groupBy("id", "f").agg(F.collect_list(F.struct("key", "p")).alias("places")), "places")
+    live = live.withColumn("is_first", _order("p").eqNullSafe(F.col("first")))
+    places = keep(live.select("id", "f", "key", "p", "is_first").groupBy("id", "f").agg(F.collect_list(F.struct("key", "p", "is_first")).alias("places")), "places")
     texts = _fingerprinted(probably_in(source, "id", places.select("id"), "id")).dropDuplicates(["id", "f"])
     pl = places.select(F.col("id").alias("pid"), F.col("f").alias("pf"), "places")
     found = texts.join(pl, F.col("id").eqNullSafe(F.col("pid")) & (F.col("f") == F.col("pf"))).select("id", "f", "text", "places")
     around = keep(found.mapInArrow(_around(window, length), AROUND), "around")
 
+    inside = around.where("before is null").select("id", "f", F.col("p").alias("start"), F.lit(length).alias("size"))
+    around = around.where("before is not null")
     e = around.join(repeated, "key")
-    is_first = _order("p").eqNullSafe(F.col("first"))
-    firsts = e.where(is_first).select("key", "c", F.struct("first.no_id", "first.id", "first.f", "first.p", "before", "after").alias("first"))
+    firsts = e.where(_order("p").eqNullSafe(F.col("first"))).select("key", "c", F.struct("first.no_id", "first.id", "first.f", "first.p", "before", "after").alias("first"))
     part = F.pmod(F.xxhash64("id", "f", "p"), F.ceil(F.col("c") / part_rows))
     e = around.join(firsts, "key").withColumn("part", part).withColumn("no_id", F.col("id").isNull())
     e = e.where(~F.struct("no_id", "id", "f", "p").eqNullSafe(F.struct("first.no_id", "first.id", "first.f", "first.p")))
     e = e.select("key", "part", "after", "no_id", "id", "f", "p", "before", "first")
     e = e.repartition("key", "part").sortWithinPartitions("key", "part", "after", "no_id", "id", "f", "p")
     spans = e.mapInArrow(_neighbours(length), "id long, f long, start int, size int")
-    out = _apply(source, spans, "word")
+    out = _apply(source, spans.unionByName(inside), "word")
     return out.select("id", "n_words", "words_removed", "clean_text").withColumnRenamed("id", id_col)
