@@ -36,9 +36,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("t"))
     marks = [F.octet_length("t").alias("n"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("p")]
 
-    sizes = rows.select(*marks)
-    lengths = sizes.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n")
-    live = keep(sizes.join(lengths, "n", "left_semi").groupBy("n", "p").agg(F.count("*").alias("c")).where("c > 1").select("n", "p"), "live")
+    counts = rows.groupBy(*marks).agg(F.count("*").alias("c"))
+    lengths = counts.groupBy("n").agg(F.sum("c").alias("rows")).where("rows > 1").select("n")
+    live = keep(counts.join(lengths, "n", "left_semi").where("c > 1").select("n", "p"), "live")
 
     content = rows.select("id", *marks, "t")
     if live.count() * ROW_BYTES <= broadcast_bytes:
