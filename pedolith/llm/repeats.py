@@ -62,8 +62,12 @@ def sentences(words: Words) -> np.ndarray:
 
 
 def sentence_runs(words: Words, least_sentences: int, least_words: int, lone_words: int):
-    """(doc, first sentence of the doc's, sentences, hash) of the shortest run from each sentence that has
-    least_sentences and least_words, or is one sentence of lone_words; per-document sentence counts."""
+    """(doc, first sentence of the doc's, sentences, hash) of the shortest runs from each sentence and to each
+    sentence that have least_sentences and least_words, and of each sentence of lone_words;
+    per-document sentence counts.
+
+    Any longer run is made of these: a sentence before the shortest run to its end starts a shortest
+    run that ends inside it. So what they cover is what all runs cover."""
     first = sentences(words)
     n = len(first)
     n_docs = len(words.count)
@@ -77,11 +81,12 @@ def sentence_runs(words: Words, least_sentences: int, least_words: int, lone_wor
     doc = words.doc[first]
     of_doc = np.bincount(doc, minlength=n_docs)
     begin = np.cumsum(of_doc) - of_doc
-    i = np.arange(n)
-    j = np.maximum(np.searchsorted(edges, edges[:-1] + least_words, "left"), i + least_sentences)
-    j = np.where(np.diff(edges) >= lone_words, i + 1, j)
-    ok = j <= (begin + of_doc)[doc]
-    i, j = i[ok], j[ok]
+    at = np.arange(n)
+    to = np.maximum(np.searchsorted(edges, edges[:-1] + least_words, "left"), at + least_sentences)
+    since = np.minimum(np.searchsorted(edges, edges[1:] - least_words, "right"), at + 2 - least_sentences) - 1
+    starts, ends, lone = to <= (begin + of_doc)[doc], since >= begin[doc], np.diff(edges) >= lone_words
+    i, j = np.concatenate([at[starts], since[ends], at[lone]]), np.concatenate([to[starts], at[ends] + 1, at[lone] + 1])
+    i, j = np.divmod(np.unique(i * (n + 1) + j), n + 1)
     return doc[i], i - begin[doc[i]], j - i, run_hashes(h, i, j), of_doc
 
 
@@ -178,9 +183,9 @@ def _apply(source: DataFrame, spans: DataFrame, by: str) -> DataFrame:
 def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = 2, least_words: int = 20, lone_words: int = 25) -> DataFrame:
     """One row per input row: id, n_sentences, n_removed, n_words, words_removed, clean_text.
 
-    Every run of consecutive sentences that is the shortest from its start to have `least_sentences`
-    and `least_words` words (or is one sentence of `lone_words`) is hashed, its words in lower case
-    (A-Z) and apart from white space. Runs are counted over all documents; sentences that stand in
+    Every run of consecutive sentences with `least_sentences` and `least_words` words (or one sentence
+    of `lone_words`) counts, its words in lower case (A-Z) and apart from white space. Hashed are those
+    that all others are made of: the shortest from each start and to each end. Runs are counted over all documents; sentences that stand in
     any but the first occurrence of a repeated run are removed, in the same document too.
 
     Occurrences are reduced to (count, first) before they meet, and joined back after a bit map has

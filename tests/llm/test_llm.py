@@ -255,6 +255,28 @@ def test_sentence_runs_against_brute_force(spark):
         assert got[i].n_removed == len(cut[i]) and got[i].n_sentences == len(parts(text_of[i]))
 
 
+def test_sentence_runs_of_every_length_and_end(spark):
+    rng = random.Random(12)
+    sentence = lambda n: prose(rng, n, stop=0) + "."
+    pair, tail = f"{sentence(30)} {sentence(24)}", f"{sentence(12)} {sentence(12)} {sentence(3)}"
+    docs = [(1, f"{sentence(9)} {pair} {sentence(9)}", "s"), (2, f"{sentence(8)} {pair} {sentence(8)}", "s"), (3, tail, "s"), (4, tail, "s")]
+    bits = [sentence(n) for n in (2, 3, 5, 9, 12, 18, 24, 26, 30)]
+    docs += [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(1, 12))), "s") for i in range(10, 60)]
+    first, cut = {}, defaultdict(set)
+    for i, text, _ in docs:
+        s = re.findall(r"[^.]+[.]", text)
+        for a in range(len(s)):
+            for b in range(a + 1, len(s) + 1):
+                n = sum(len(x.split()) for x in s[a:b])
+                if n >= (20 if b - a >= 2 else 25):
+                    key = tuple(x.strip() for x in s[a:b])
+                    if first.setdefault(key, (i, a)) != (i, a):
+                        cut[i] |= set(range(a, b))
+    assert len(cut[2]) == 2 and len(cut[4]) == 3
+    got = {r.doc_id: r for r in repeats.sentence_span_dedup(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert {i: got[i].n_removed for i in got} == {i: len(cut[i]) for i in got}
+
+
 def test_suffix_copies_and_parts(spark):
     docs, passages = planted(4)
     df = spark.createDataFrame(docs + [(200, docs[1][1], "s"), (None, docs[1][1], "s")], SCHEMA)
