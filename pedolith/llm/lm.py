@@ -30,7 +30,7 @@ NOISE = 10
 FREQUENT = 200_000
 #: Words that a task counts before it passes its counts on.
 HELD = 1 << 20
-#: Draws of (context, class) that training takes from the class trigram counts of the whole training part.
+#: Training makes whole passes over the class trigram table, in steps of BATCH: one, or as many as give STEPS steps.
 BATCH, STEPS = 4096, 500
 SEED = 17
 
@@ -137,16 +137,29 @@ def _count_trigrams(vocabulary: Vocabulary):
     return run
 
 
+def shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key's place, weight) of the terms of one pass over all keys: a key's weights add up to its count.
+
+    Counts above the mean are split into equal weights of at most the mean, so that no term outweighs
+    a step; that makes fewer terms than twice the keys."""
+    parts = np.ceil(counts / max(counts.mean(), 1.0)).astype(np.int64)
+    return np.repeat(np.arange(len(counts), dtype=np.int32), parts), np.repeat((counts / parts).astype(np.float32), parts)
+
+
 def train(keys: np.ndarray, counts: np.ndarray, steps: int = STEPS, batch: int = BATCH, dim: int = DIM, noise: int = NOISE, seed: int = SEED) -> dict[str, np.ndarray]:
     """Noise-contrastive estimation of the log-bilinear model s(c | u, v) = r_c . (A * q_u + B * q_v) + b_c.
 
-    Class trigrams are drawn by their counts, noise classes by the class counts; the loss is the
-    logistic one of telling data from noise, with Adam steps of batched products."""
+    Each pass takes every class trigram of the table, weighted by its count, in random order; noise
+    classes are drawn by the class counts. The loss is the logistic one of telling data from noise,
+    with Adam steps of batched products, at least `steps` of them."""
     rng = np.random.default_rng(seed)
     side = CLASSES + 1
     w1, c = np.divmod(keys.astype(np.int64), side)
     u, v = np.divmod(w1, side)
-    share = np.cumsum(counts / counts.sum())
+    term, weight = shares(counts)
+    weight /= weight.mean()
+    per_pass = -(-len(term) // batch)
+    steps = per_pass * max(1, -(-steps // per_pass))
     unigram = np.bincount(c, counts, minlength=CLASSES) + 0.5
     unigram /= unigram.sum()
     cut = np.cumsum(unigram)
@@ -160,25 +173,30 @@ def train(keys: np.ndarray, counts: np.ndarray, steps: int = STEPS, batch: int =
     m1 = {k: np.zeros_like(x) for k, x in p.items()}
     m2 = {k: np.zeros_like(x) for k, x in p.items()}
     for t in range(1, steps + 1):
-        at = np.minimum(np.searchsorted(share, rng.random(batch)), len(keys) - 1)
+        k = (t - 1) % per_pass
+        if k == 0:
+            order = rng.permutation(len(term))
+        mine = order[k * len(term) // per_pass : (k + 1) * len(term) // per_pass]
+        at, size = term[mine], len(mine)
         tu, tv, tc = u[at], v[at], c[at]
-        noise_c = np.minimum(np.searchsorted(cut, rng.random(batch * noise)), CLASSES - 1).reshape(batch, noise)
+        noise_c = np.minimum(np.searchsorted(cut, rng.random(size * noise)), CLASSES - 1).reshape(size, noise)
         both = np.concatenate([tc[:, None], noise_c], axis=1)
         h = p["q2"][tu] + p["q1"][tv]
         s = np.einsum("bd,bkd->bk", h, p["r"][both]) + p["b"][both]
         d = 1 / (1 + np.exp(-(s - log_noise[both])))
         d[:, 0] -= 1
+        d *= weight[mine][:, None]
         flat = both.ravel()
-        one_hot = np.zeros((batch, CLASSES))
-        np.add.at(one_hot, (np.repeat(np.arange(batch), noise + 1), flat), d.ravel())
+        one_hot = np.zeros((size, CLASSES))
+        np.add.at(one_hot, (np.repeat(np.arange(size), noise + 1), flat), d.ravel())
         g_h = one_hot @ p["r"]
         g = {"r": one_hot.T @ h, "b": one_hot.sum(0), "q2": np.zeros_like(p["q2"]), "q1": np.zeros_like(p["q1"])}
         np.add.at(g["q2"], tu, g_h)
         np.add.at(g["q1"], tv, g_h)
         rate = 0.03 * (1 - t / (steps + 1))
         for k in p:
-            m1[k] = 0.9 * m1[k] + 0.1 * g[k] / batch
-            m2[k] = 0.99 * m2[k] + 0.01 * (g[k] / batch) ** 2
+            m1[k] = 0.9 * m1[k] + 0.1 * g[k] / size
+            m2[k] = 0.99 * m2[k] + 0.01 * (g[k] / size) ** 2
             p[k] = p[k] - rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-8)
     return p
 
@@ -256,7 +274,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     then all texts are scored. Counts of the `frequent` most frequent words are sent to the tasks, a
     bound of 16 bytes each; the others' counts are joined on the word's hash, once for each
     distinct (text, word). Class trigrams number at most (CLASSES + 1)^2 * CLASSES (7 million), so
-    they, and the model, fit one process whatever the input.
+    they, and the model, fit one process whatever the input; training passes over all of them.
 
     base_score: sum of log10((c + 0.5) / (N + 0.5 * (V + 1))) over words and the end; score: the sum of
     the model's log10 probabilities, normalised over classes and, within a class, over its words and

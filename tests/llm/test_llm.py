@@ -422,6 +422,20 @@ def test_lm_scores(spark):
     assert sum(r.score for r in out) > 0.7 * sum(r.base_score for r in out)  # the order of words is learnt
 
 
+def test_lm_trains_on_every_trigram():
+    counts = np.random.default_rng(1).zipf(1.3, 30_000).clip(1, 10**7).astype(float)
+    at, weight = lm.shares(counts)
+    assert np.allclose(np.bincount(at, weight, minlength=len(counts)), counts, rtol=1e-5) and len(at) < 2 * len(counts)
+    # a context of one trigram in 10^9 is fitted: 2 million draws by count would leave it as it was drawn
+    side = lm.CLASSES + 1
+    keys, n = np.array([(3 * side + 4) * side + 5, (7 * side + 4) * side + 6]), np.array([1e9, 1.0])
+    rng = np.random.default_rng(lm.SEED)
+    rng.normal(0, 0.1, (lm.CLASSES, lm.DIM))
+    drawn = rng.normal(0, 0.1, (side, lm.DIM))
+    p = lm.train(keys, n, steps=2)
+    assert not np.allclose(p["q2"][7], drawn[7])
+
+
 def test_lm_is_normalised():
     rng = np.random.default_rng(0)
     side = lm.CLASSES + 1
