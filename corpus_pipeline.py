@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pedolith.llm.common import fresh, keep, probably_in, table
 from pedolith.llm.exact_dedup import exact_dedup, normalised
-from pedolith.llm.minhash import near_duplicates
+from pedolith.llm.minhash import near_duplicates, with_prints
 from pedolith.llm.mixing import mix
 from pedolith.llm.quality import quality
 from pedolith.llm.sentencepieces import encode
@@ -39,11 +39,23 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    dropped = keep(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "dropped")
-    clear = probably_in(docs, "doc_id", dropped, "gone", negate=True)
-    maybe = probably_in(docs, "doc_id", dropped, "gone").join(dropped, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    return clear.unionByName(maybe)
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more.
+
+    Decided by (doc_id, fingerprint of the shingles): the group's smallest stays, null ids last, one
+    of several rows that share both. Only rows of an id that some dropped row has are moved."""
+    found = near_duplicates(docs, groups=True).where("n_shingles > 0")
+    found = keep(found.groupBy("doc_id", "f1", "comp").agg(F.count("*").alias("n")), "verdicts")
+    me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "f1")
+    first = found.groupBy("comp").agg(F.min(me).alias("first"), F.sum("n").alias("c")).where("c > 1").drop("c")
+    marked = found.join(first, "comp").withColumn("stays", me.eqNullSafe(F.col("first"))).where("not stays or n > 1")
+    marked = keep(marked.select(F.col("doc_id").alias("m_id"), F.col("f1").alias("m_f1"), F.col("stays").alias("m_stays")), "marked")
+    clear = probably_in(docs, "doc_id", marked, "m_id", negate=True)
+    f1 = fresh(docs, "f1")
+    maybe = with_prints(probably_in(docs, "doc_id", marked, "m_id"), f1)
+    maybe = maybe.join(marked, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col(f1) == F.col("m_f1")), "left")
+    maybe = keep(maybe.where("m_stays is null or m_stays"), "maybe")
+    one = maybe.where("m_stays").dropDuplicates(["doc_id", f1])
+    return clear.unionByName(maybe.where("m_stays is null").select(*docs.columns)).unionByName(one.select(*docs.columns))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

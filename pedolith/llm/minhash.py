@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pedolith.llm.common import Words, chunks, components, forget, keep, mix, probably_in, shingles, signed, text_buffers
 
@@ -99,6 +100,19 @@ def _with_prints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(signed(f))], names=["id", "text", "f1"])
 
 
+def with_prints(docs: DataFrame, name: str, text_col: str = "text", width: int = 5) -> DataFrame:
+    """docs with the fingerprint f1 of each row's set as column `name`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index(text_col))
+            two = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), text], names=["id", "text"])
+            f = [x.column(2) for x in _with_prints(iter([two]), width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays([pa.array([], pa.int64()), *f])], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def _confirm(threshold: int, width: int):
     """Rows (a, b, ta, tb) -> the pairs whose full sets reach the threshold; sets of recent nodes are remembered."""
 
@@ -213,8 +227,9 @@ def _estimate(bands: int, rows: int):
     return ((k - differ) / F.lit(float(k)) - chance) / (1 - chance)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, groups: bool = False) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept; with `groups` also f1, the fingerprint of its set,
+    and comp, which tells components apart whatever their ids (null for an empty set).
 
     A row's set is its distinct `width`-word shingles (words split at space and \\x09-\\x0D, A-Z lower
     case), or its whole sequence if shorter; a row without words has an empty set and no link. Rows
@@ -296,7 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     least_of = comp.join(classes, "node").groupBy("comp").agg(F.min("least_id").alias("component_id"))
     of_class = classes.join(comp, "node", "left").join(least_of, "comp", "left")
-    of_class = of_class.select("f1", "f2", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = s.select("id", "n_shingles", "f1", "f2").where("n_shingles > 0").join(of_class, ["f1", "f2"], "left").select("id", "n_shingles", "component_id")
-    out = out.unionByName(s.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
+    more = ["f1", "comp"] if groups else []
+    of_class = of_class.select("f1", "f2", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("comp", "node").alias("comp"))
+    out = s.select("id", "n_shingles", "f1", "f2").where("n_shingles > 0").join(of_class, ["f1", "f2"], "left").select("id", "n_shingles", "component_id", *more)
+    out = out.unionByName(s.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), "f1", F.lit(None).cast("long").alias("comp")).select("id", "n_shingles", "component_id", *more))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)

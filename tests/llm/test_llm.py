@@ -628,3 +628,20 @@ def test_pipeline_stages_against_brute_force(spark, data):
     assert set(ids("source_mix")) <= set(ids("near_dedup")) and max(Counter(ids("source_mix")).values()) <= 2
     m = sp.Model.load()
     assert all(sp.decode_ids(m, r.token_ids) == texts[r.doc_id] for r in kept["sentence_pieces"].collect())
+
+
+def test_near_duplicate_stage_on_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(21)
+    a, b, c, d, e = (prose(rng, 100) for _ in range(5))
+    rows = [
+        (1, a, "s"), (2, a + " x", "s"), (2, b, "s"),  # a near copy shares its id with another text
+        (None, a + " y", "s"), (None, c, "s"), (None, c + " z", "s"), (None, "", "s"), (None, None, "s"),  # null ids
+        (3, d, "s"), (3, d + " w", "s"), (4, e, "s"), (4, e.replace(" ", "\n"), "s"),  # near copies under one id
+    ]
+    out = [(r.doc_id, r.text) for r in cp.near_duplicate_groups(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    assert (1, a) in out and (2, b) in out and (None, "") in out and (None, None) in out
+    assert not {(2, a + " x"), (None, a + " y")} & set(out)
+    assert sum(t in (c, c + " z") for _, t in out) == sum(t in (d, d + " w") for _, t in out) == sum(i == 4 for i, _ in out) == 1
+    assert len(out) == 7
