@@ -872,7 +872,7 @@ def feature_elimination(spark, d):
 @query()
 def shadow_feature_test(spark, d):
     t = _training(spark, d)
-    return models.shadow_features(t, [f"b{i}" for i in range(4)], "class", runs=3, trees=5)
+    return models.shadow_features(t, [f"b{i}" for i in range(4)], "class", trees=5)
 
 
 @query()

@@ -100,6 +100,15 @@ def test_iterative_pca_variants():
     assert stats.iterative_pca(np.eye(1), ["a"]) == ["a"]
 
 
+def test_shadow_features_decides(spark, data, monkeypatch):
+    from pedolith.plans import catalogue
+
+    planted = spark.range(240).select("id", (F.col("id") % 12).cast("double").alias("b0"), *[(F.xxhash64(F.lit(k), "id") % 50).cast("double").alias(f"b{k}") for k in (1, 2, 3)], F.when(F.col("id") % 12 < 6, "x").otherwise("y").alias("class"))
+    monkeypatch.setattr(catalogue, "_training", lambda spark, d: planted)
+    got = {r.variable: r.decision for r in catalogue.queries()["shadow_feature_test"](spark, data).collect()}
+    assert got["b0"] == "confirmed" and "rejected" in {got[b] for b in ("b1", "b2", "b3")} and "confirmed" not in {got[b] for b in ("b1", "b2", "b3")}
+
+
 def test_mess_is_negative_outside_the_reference(spark):
     ref = spark.range(11).select(F.col("id").cast("double").alias("v"))
     cells = spark.createDataFrame([(1, -5.0), (2, 5.0), (3, 15.0), (4, None)], "cell_id long, v double")
