@@ -197,20 +197,19 @@ def whitened(df: DataFrame, bands: list[str], cov: np.ndarray) -> DataFrame:
     return df.select("*", *z)
 
 
-def similar_observations(cells: DataFrame, points: DataFrame, bands: list[str], prob: float = 0.95, id_col: str = "cell_id", reference_cells: int = 2000) -> DataFrame:
+def similar_observations(cells: DataFrame, points: DataFrame, bands: list[str], prob: float = 0.95, id_col: str = "cell_id") -> DataFrame:
     """Per cell the number of points similar to it.
 
     Distances are squared Mahalanobis under the cells' covariance. A cell's least distance and its
     prob-quantile over the cells scale the distance to each point; similarity is 1 minus that, 0 at
-    least, and counts from prob on. The quantile is taken over the `reference_cells` first cells in
-    hash order (all, if there are no more): a feature of the operator, as the reference set is
-    itself an aggregate. Points and reference cells meet the cells in numpy blocks, never as pairs
-    of rows; both sets are bounded and checked.
+    least, and counts from prob on. The quantile is over all cells, so time grows with their square, and
+    their whitened bands (8 bytes each) travel with the plan. Points and cells meet the cells in numpy
+    blocks, never as pairs of rows; the points are bounded and checked.
     """
     cells, points = cells.dropna(how="any", subset=bands), points.dropna(how="any", subset=bands)
     cov = matrix(cells, bands, "covar_samp")
     zs = [f"z{i + 1}" for i in range(len(bands))]
-    ref = whitened(cells, bands, cov).orderBy(F.xxhash64(id_col), id_col).limit(reference_cells).select(*zs).toPandas().to_numpy(float)
+    ref = whitened(cells, bands, cov).select(*zs).toPandas().to_numpy(float)
     pts = whitened(points, bands, cov).select(*zs).limit(100_001).toPandas().to_numpy(float)
     if len(pts) > 100_000:
         raise ValueError("similar_observations takes at most 100000 points")
@@ -219,35 +218,38 @@ def similar_observations(cells: DataFrame, points: DataFrame, bands: list[str],
         for pdf in it:
             z = pdf[zs].to_numpy(float)
             out = np.zeros(len(z), np.int64)
-            for lo in range(0, len(z), 512):
-                block = z[lo : lo + 512]
-                d = lambda y: np.maximum(((block[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0)  # noqa: B023, E731
+            some = max(1, (1 << 21) // max(1, len(ref)))
+            for lo in range(0, len(z), some):
+                block = z[lo : lo + some]
+                d = lambda y: sum((block[:, None, j] - y[None, :, j]) ** 2 for j in range(y.shape[1]))  # noqa: B023, E731
                 own = d(ref)
                 least, high = own.min(axis=1), np.quantile(own, prob, axis=1)
                 for p in range(0, len(pts), 2048):
                     far = (d(pts[p : p + 2048]) - least[:, None]) / np.where(high > least, high - least, np.nan)[:, None]
-                    out[lo : lo + 512] += ((1 - np.minimum(far, 1)) >= prob).sum(axis=1)
+                    out[lo : lo + some] += ((1 - np.minimum(far, 1)) >= prob).sum(axis=1)
             yield pdf[[id_col]].assign(n_similar=out)
 
-    return whitened(cells, bands, cov).select(F.col(id_col).cast("long").alias(id_col), *zs).mapInPandas(run, f"{id_col} long, n_similar long")
+    tasks = 4 * cells.sparkSession.sparkContext.defaultParallelism
+    return whitened(cells, bands, cov).select(F.col(id_col).cast("long").alias(id_col), *zs).repartition(tasks, id_col).mapInPandas(run, f"{id_col} long, n_similar long")
 
 
-def mess(cells: DataFrame, reference: DataFrame, bands: list[str], most: int = 100_000) -> DataFrame:
+def mess(cells: DataFrame, reference: DataFrame, bands: list[str]) -> DataFrame:
     """cells with `mess`: the least over bands of the similarity to the reference values.
 
-    The sorted reference values travel with the plan (at most `most`, checked); a cell's rank among
-    them is a search in numpy, one batch at a time."""
-    ref = reference.select(*bands).dropna().limit(most + 1).toPandas()
-    if len(ref) > most:
-        raise ValueError(f"mess takes at most {most} reference rows")
-    values = {b: np.sort(ref[b].to_numpy(float)) for b in bands}
+    The distinct reference values of each band and their counts (16 bytes each) travel with the plan; a
+    cell's rank among them is a search in numpy, one batch at a time."""
+    ref = reference.select(*[F.col(b).cast("double").alias(b) for b in bands]).dropna()
+    values = {}
+    for b in bands:
+        found = ref.groupBy(b).agg(F.count("*").alias("_n")).toPandas().sort_values(b)
+        values[b] = found[b].to_numpy(float), np.concatenate([[0], np.cumsum(found["_n"].to_numpy(np.int64))])
 
     def run(it):
         for pdf in it:
             best = np.full(len(pdf), np.inf)
             for b in bands:
-                v, r = pdf[b].to_numpy(float), values[b]
-                f = 100.0 * np.searchsorted(r, v, "left") / len(r)
+                v, (r, below) = pdf[b].to_numpy(float), values[b]
+                f = 100.0 * below[np.searchsorted(r, v, "left")] / below[-1]
                 lo, hi = r[0], r[-1]
                 span = hi - lo if hi > lo else np.nan
                 s = np.where(f == 0, 100 * (v - lo) / span, np.where(f <= 50, 2 * f, np.where(f < 100, 2 * (100 - f), 100 * (hi - v) / span)))

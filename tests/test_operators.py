@@ -130,6 +130,25 @@ def test_similar_observations_against_brute_force(spark):
         assert got[i] == sum(1 - min(1, (d(x[i], x[j]) - lo) / (q - lo)) >= 0.9 for j in range(0, 60, 7))
 
 
+def test_similar_observations_of_many_cells(spark):
+    x = np.random.default_rng(3).normal(size=(2600, 2)) ** 3
+    cells = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "cell_id long, a double, b double")
+    got = {r.cell_id: r.n_similar for r in stats.similar_observations(cells, cells.where("cell_id % 7 = 0"), ["a", "b"]).collect()}
+    inv = np.linalg.inv(np.cov(x, rowvar=False))
+    for i in range(0, 2600, 13):
+        own = np.einsum("ij,jk,ik->i", x - x[i], inv, x - x[i])
+        q, lo = np.quantile(own, 0.95), own.min()
+        far = 1 - np.minimum(1, (own[::7] - lo) / (q - lo)) - 0.95
+        assert (far > 1e-9).sum() <= got[i] <= (far > -1e-9).sum()
+
+
+def test_mess_of_a_large_reference(spark):
+    ref = spark.range(150_000).select((F.col("id") % 75_000).cast("double").alias("v"))
+    cells = spark.createDataFrame([(1, -7.5), (2, 15_000.0)], "cell_id long, v double")
+    got = {r.cell_id: r.mess for r in stats.mess(cells, ref, ["v"]).collect()}
+    assert got[1] == pytest.approx(100 * -7.5 / 74_999) and got[2] == pytest.approx(40)
+
+
 def test_under_sampled_stays_in_budget_and_off_the_legacy(spark):
     cells = spark.range(400).select(F.col("id").alias("cell_id"), (F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
     legacy = cells.where("a < 5")
