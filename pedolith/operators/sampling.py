@@ -161,20 +161,38 @@ def clhs(cells: DataFrame, features: list[str], size: int, iterations: int = 100
     return cells.where(F.col(id_col).isin(ids))
 
 
+def zone_statistics(cells: DataFrame, zone: str, features: list[str], size: int) -> DataFrame:
+    """(zone, _cells, _edges, _corr) over all rows of each zone: quantile strata of each feature for `size` members
+    and the correlations of the pairs of features, by one grouped aggregate."""
+    probs = F.array(*[F.lit(i / size) for i in range(size + 1)])
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
+    corr = F.array(*[F.corr(a, b) for a, b in pairs]) if pairs else F.array().cast("array<double>")
+    edges = F.array(*[F.percentile(f, probs) for f in features])
+    return cells.groupBy(zone).agg(F.count("*").alias("_cells"), edges.alias("_edges"), corr.alias("_corr"))
+
+
 def clhs_by_zone(cells: DataFrame, zone: str, features: list[str], size: int, iterations: int = 1000, seed: int = 10, pool: int = 5_000, id_col: str = "cell_id") -> DataFrame:
-    """A sample of each zone, zones in parallel: a zone's pool is its first `pool` rows in draw order, so that no
-    group is larger; strata and correlations are the pool's."""
-    ranked = stratified_equal(cells.dropna(how="any", subset=features), zone, pool, seed, id_col).select(zone, id_col, *features)
+    """A sample of each zone, zones in parallel. Strata and correlations come from all rows of the zone; the annealing
+    runs on its first `pool` rows in draw order (`size`, if that is more), so that no group is larger."""
+    clean = cells.dropna(how="any", subset=features)
+    ranked = stratified_equal(clean, zone, max(pool, size), seed, id_col).select(zone, id_col, *features)
+    of_zone = zone_statistics(clean, zone, features, size).withColumnRenamed(zone, "_zone")
+    both = ranked.join(of_zone, F.col(zone).eqNullSafe(F.col("_zone"))).drop("_zone")
+    names = ranked.columns
 
     def one(pdf):
+        pdf = pdf.sort_values(id_col)
         x = pdf[features].to_numpy(float)
         n = min(size, len(x))
-        edges = np.quantile(x, np.linspace(0, 1, n + 1), axis=0)
-        corr = np.nan_to_num(np.corrcoef(x, rowvar=False)) if len(features) > 1 and len(x) > 2 else np.ones((1, 1))
+        corr = np.eye(len(features))
+        corr[np.triu_indices(len(features), 1)] = np.nan_to_num(np.array(pdf["_corr"].iloc[0], float))
+        corr = corr + np.triu(corr, 1).T
+        # a zone with fewer rows than `size` is here as a whole
+        edges = np.stack([np.array(e, float) for e in pdf["_edges"].iloc[0]], axis=1) if n == size else np.quantile(x, np.linspace(0, 1, n + 1), axis=0)
         members, _ = anneal(x, edges, corr, n, iterations, seed)
-        return pdf.iloc[np.sort(members)]
+        return pdf[names].iloc[np.sort(members)]
 
-    return ranked.groupBy(zone).applyInPandas(one, ranked.schema)
+    return both.groupBy(zone).applyInPandas(one, ranked.schema)
 
 
 # --- quality of samples ----------------------------------------------------------------------

@@ -260,6 +260,23 @@ def test_clhs_members(spark):
     assert sampling.clhs(df, ["a", "b"], 12, 50, cost="cost").count() == 12
 
 
+def test_clhs_by_zone_takes_strata_from_the_whole_zone(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 2)) ** 3
+    zone = np.where(np.arange(900) % 3 == 0, 0, 1)
+    zone[:4] = 2
+    df = spark.createDataFrame([(int(z), i, float(a), float(b)) for i, (z, (a, b)) in enumerate(zip(zone, x, strict=True))], "zone int, cell_id long, a double, b double")
+    got = {}
+    for r in sampling.clhs_by_zone(df, "zone", ["a", "b"], 8, 200, pool=60).collect():
+        got.setdefault(r.zone, []).append(r.cell_id)
+    pool = sampling.stratified_equal(df, "zone", 60, 10, "cell_id").toPandas()
+    for z in (0, 1):
+        mine, whole = pool[pool.zone == z].sort_values("cell_id"), x[zone == z]
+        members, _ = sampling.anneal(mine[["a", "b"]].to_numpy(), np.quantile(whole, np.linspace(0, 1, 9), axis=0), np.corrcoef(whole, rowvar=False), 8, 200, 10)
+        assert sorted(got[z]) == sorted(mine.cell_id.to_numpy()[members].tolist())
+    assert sorted(got[2]) == [0, 1, 2, 3]
+
+
 @given(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), min_size=1, max_size=30))
 def test_hull_area_is_within_the_box(points):
     p = np.array(points, float)
