@@ -236,34 +236,57 @@ def _suffixes(k: int, window: int, length: int):
     return run
 
 
-AROUND = "key long, id long, f long, p int, before binary, after binary"
+AROUND = "kind int, key long, id long, f long, p int, size int, ext binary, is_first boolean"
+CHAIN, BEFORE, AFTER = 0, 1, 2
+
+
+def _strips(words4: np.ndarray, at: np.ndarray, step: int, reach: int) -> pa.Array:
+    """4 bytes for each of the up to `reach` words from each place on, forward or (step -1) backward."""
+    k = at[:, None] + step * np.arange(reach)
+    inside = (k >= 0) & (k < len(words4))
+    offsets = np.concatenate([[0], np.cumsum(inside.sum(axis=1) * 4)]).astype(np.int32)
+    data = words4[k[inside]].tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
 def _around(reach: int, length: int):
-    """Rows (id, f, text, places [key, p, first]) -> a row per place with 4 bytes for each of `reach` words before
-    it, nearest first, and after its prefix; fewer at the text's ends.
+    """Rows (id, f, text, places [key, p, is_first]) -> the text's chains, and what stands around their ends.
 
-    Of places that are not their key's first, only the ends of a chain can reach beyond it: those
-    whose prefix overlaps or touches the next one's have an empty `after`, the next one an empty
-    `before`, and both are null inside the chain."""
+    Places that repeat an earlier one whose prefixes overlap or touch make a chain; kind CHAIN has its
+    start and size. BEFORE and AFTER have the `reach` words before a prefix, nearest first, and after it:
+    of a chain's first and last place, and of each key's first occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, fs, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             offsets, data = text_buffers(batch.column(2))
+            places = batch.column(3)
             for r in range(len(batch)):
                 w = Words(offsets, data, r, r + 1).hashes().astype(">u4")
                 key, p, first = (places[r].values.field(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
                 order = np.argsort(p, kind="stable")
-                key, p, first = key[order], p[order], first[order].astype(bool)
-                head, tail = np.ones(len(p), bool), np.ones(len(p), bool)
+                key, p, first = key[order], p[order].astype(np.int64), first[order].astype(bool)
                 again = np.flatnonzero(~first)
-                near = p[again[1:]] <= p[again[:-1]] + length
-                head[again[1:][near]] = tail[again[:-1][near]] = False
-                before = [(w[max(0, x - reach) : x][::-1].tobytes() if h else b"") if h or t else None for x, h, t in zip(p.tolist(), head, tail, strict=True)]
-                after = [(w[x + length : x + length + reach].tobytes() if t else b"") if h or t else None for x, h, t in zip(p.tolist(), head, tail, strict=True)]
-                m = len(p)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([ids[r]] * m, pa.int64()), pa.array([fs[r]] * m, pa.int64()), pa.array(p.astype(np.int32)), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["key", "id", "f", "p", "before", "after"])
+                apart = p[again[1:]] > p[again[:-1]] + length
+                head, tail = np.append(True, apart) if len(again) else apart, np.append(apart, True) if len(again) else apart
+                start, stop = p[again[head]], p[again[tail]] + length
+                left, right = first.copy(), first.copy()
+                left[again[head]] = right[again[tail]] = True
+                left &= p > 0
+                right &= p + length < len(w)
+                n, b, a = len(start), int(left.sum()), int(right.sum())
+                m = n + b + a
+                ext = pa.concat_arrays([pa.nulls(n, pa.binary()), _strips(w, p[left] - 1, -1, reach), _strips(w, p[right] + length, 1, reach)])
+                cols = [
+                    np.repeat([CHAIN, BEFORE, AFTER], [n, b, a]).astype(np.int32),
+                    np.concatenate([np.zeros(n, np.int64), key[left], key[right]]),
+                    pa.array([batch.column(0)[r].as_py()] * m, pa.int64()),
+                    pa.array([batch.column(1)[r].as_py()] * m, pa.int64()),
+                    np.concatenate([start, p[left], p[right]]).astype(np.int32),
+                    np.concatenate([stop - start, np.zeros(b + a, np.int64)]).astype(np.int32),
+                    ext,
+                    np.concatenate([np.zeros(n, bool), first[left], first[right]]),
+                ]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=[x.split()[0] for x in AROUND.split(", ")])
 
     return run
 
@@ -277,43 +300,76 @@ def _common(a: bytes, b: bytes) -> int:
     return int(np.argmax(x != y))
 
 
-def _neighbours(length: int):
-    """Sorted suffixes (key, part, after, no_id, id, f, p, before, first...) -> what each shares with an earlier
-    occurrence: its neighbour before or after it in the order of suffixes, or the first of its key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # previous row and the one whose next neighbour is awaited
-
-        def settle(row, prev, follow):
-            me = (row["no_id"], row["id"] or 0, row["f"], row["p"])
-            first = row["first"]
-            left = right = -1
-            for o in (prev, follow):
-                if o is not None and (o["key"], o["part"]) == (row["key"], row["part"]) and (o["no_id"], o["id"] or 0, o["f"], o["p"]) < me:
-                    left, right = max(left, _common(row["before"], o["before"])), max(right, _common(row["after"], o["after"]))
-            if (first["no_id"], first["id"] or 0, first["f"], first["p"]) < me:
-                left, right = max(left, _common(row["before"], first["before"])), max(right, _common(row["after"], first["after"]))
-            return None if left < 0 else (row["id"], row["f"], row["p"] - left, left + length + right)
-
-        def done(out):
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["id", "f", "start", "size"])
-
-        prev = now = None
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if now is not None:
-                    out.append(settle(now, prev, row))
-                prev, now = now, row
-            yield done([x for x in out if x])
-        if now is not None:
-            yield done([x for x in [settle(now, prev, None)] if x])
-
-    return run
-
-
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, window: int = 16, length: int = 32, part_rows: int = 2000) -> DataFrame:
+MATCHED = "key long, kind int, level int, ext binary, no_id boolean, id long, f long, p int, settled boolean"
+
+
+def _tournament(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, kind, ext, occurrence) -> (row, level) for rows that share the first `level` words of
+    their strip with an earlier occurrence; the greatest level of a row is what it shares with any.
+
+    Rows of a key that share the first j words stand together: a group of level j, a node of a trie.
+    When a group ends, its earliest row meets that of the group above: the later one of the two shares
+    no more than that level, which settles it. Groups that hold the partition's first or last row may
+    go on beyond it: their earliest rows, one a level and end, also go out unsettled, to meet those of
+    the other partitions. So it does not matter where the partitions are cut."""
+    best: list = []  # by level, the earliest row of the open group
+    key, ext, edge, start = None, b"", -1, True  # edge: deepest open level that the partition's first row shares
+    out: list = []
+
+    def end(down_to: int, unsettled: int) -> None:
+        for level in range(len(best) - 1, down_to, -1):
+            row = best.pop()
+            if level <= unsettled:
+                out.append((*key, level, ext[: 4 * level], *row, False))
+            if level:
+                up = best[-1]
+                if up is not None:
+                    out.append((*key, level - 1, None, *max(up, row), True))
+                best[-1] = row if up is None else min(up, row)
+
+    def flushed() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [[]] * 9
+        out.clear()
+        fields = [f.split() for f in MATCHED.split(", ")]
+        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+    for batch in batches:
+        for k, kind, x, no_id, i, f, p in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            same = (_common(x, ext) if (k, kind) == key else -1) if not start else len(x) // 4
+            if start:
+                key, edge, start = (k, kind), same, False
+            else:
+                end(same, edge)
+                edge = min(edge, same)
+            key, ext, row = (k, kind), x, (no_id, i, f, p) if not no_id else (no_id, 0, f, p)
+            best.extend([None] * (len(x) // 4 + 1 - len(best)))
+            if best[-1] is not None:
+                out.append((*key, len(best) - 1, None, *max(best[-1], row), True))
+                row = min(best[-1], row)
+            best[-1] = row
+        yield flushed()
+    end(-1, len(best))
+    yield flushed()
+
+
+def _matched(strips: DataFrame) -> DataFrame:
+    """strips(key, kind, id, f, p, ext) -> (kind, id, f, p, level): what a strip shares with an earlier occurrence's.
+
+    Sorted by range, so that a key with a third of all rows is many partitions; what crosses their
+    bounds is at most two rows a level and partition."""
+    keys = ["key", "kind", "ext", "no_id", "id", "f", "p"]
+    e = strips.withColumn("no_id", F.col("id").isNull()).select(*keys)
+    met = keep(e.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_tournament, MATCHED), "matched")
+    ends = met.where("not settled").withColumn("row", F.struct("no_id", "id", "f", "p"))
+    group = ["key", "kind", "level", "ext"]
+    ends = ends.join(ends.groupBy(*group).agg(F.min("row").alias("least")), group).where("row > least")
+    out = ["kind", "no_id", "id", "f", "p", "level"]
+    both = met.where("settled").select(*out).unionByName(ends.select(*out))
+    return both.where("level > 0").select("kind", F.when(~F.col("no_id"), F.col("id")).alias("id"), "f", "p", "level")
+
+
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, window: int = 16, length: int = 32) -> DataFrame:
     """One row per input row: id, n_words, words_removed, clean_text.
 
     Suffixes are retained at minimisers: places whose `k`-word hash is the least of `window`
@@ -321,37 +377,35 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     places has a minimiser in common that `length` of its words follow.
 
     1. Retained suffixes are counted by the hash of their first `length` words; unrepeated ones go.
-    2. The others are sorted by key and by the words that follow; each is compared with its neighbours
-       in that order and with its key's first occurrence, and the match extended left and right by up
-       to `window` words, beyond which the next minimiser's own match reaches. Suffixes inside a
-       chain of overlapping repeated ones have nothing to extend and go past the sort.
-    3. Words that match an earlier occurrence are removed; the first occurrence stays.
-
-    The suffixes of a key are dealt over parts of about `part_rows` by a hash, each sorted by itself
-    with the key's first occurrence at hand, so no key fills a task. Null text counts as empty; an empty table gives
-    an empty result; columns other than the two named are ignored. Words are compared in lower case
-    (A-Z), by 64-bit hashes of the first `length` and 32-bit hashes of the extensions.
+    2. Of each repeated one the first occurrence stays; the others go, their words are removed. Those
+       that overlap or touch form chains, which only their ends can reach beyond.
+    3. The suffixes at chain ends and the first occurrences are sorted by key and by the words that
+       follow, and by key and the words before; neighbours are compared, and each end is extended by as
+       many words, `window` at most, as it shares with any of these that stand earlier. Beyond that
+       the next minimiser's own match reaches.
+
+    The sort is by range over all columns and its result does not depend on the partitions: no key
+    fills a task. Null text counts as empty; an empty table gives an empty result; columns other than the
+    two named are ignored; rows that share id and text have one result, other rows of an id their own; ids
+    are cast to long. Words are compared in lower case (A-Z), by 64-bit hashes of the first
+    `length` and 32-bit hashes of the extensions.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     suffixes = keep(source.mapInArrow(_suffixes(k, window, length), SUFFIXES), "suffixes")
-    repeated = keep(suffixes.groupBy("key").agg(F.count("*").alias("c"), F.min(_order("p")).alias("first")).where("c > 1"), "repeated")
+    repeated = keep(suffixes.groupBy("key").agg(F.count("*").alias("c"), F.min(_order("p")).alias("first")).where("c > 1").select("key", "first"), "repeated")
     live = probably_in(suffixes, "key", repeated, "key").join(repeated, "key")
-    live = live.withColumn("is_first", _order("p").eqNullSafe(F.col("first")))
-    places = keep(live.select("id", "f", "key", "p", "is_first").groupBy("id", "f").agg(F.collect_list(F.struct("key", "p", "is_first")).alias("places")), "places")
+    live = live.select("id", "f", F.struct("key", "p", _order("p").eqNullSafe(F.col("first")).alias("is_first")).alias("place"))
+    places = keep(live.groupBy("id", "f").agg(F.collect_set("place").alias("places")), "places")
     texts = _fingerprinted(probably_in(source, "id", places.select("id"), "id")).dropDuplicates(["id", "f"])
     pl = places.select(F.col("id").alias("pid"), F.col("f").alias("pf"), "places")
     found = texts.join(pl, F.col("id").eqNullSafe(F.col("pid")) & (F.col("f") == F.col("pf"))).select("id", "f", "text", "places")
-    around = keep(found.mapInArrow(_around(window, length), AROUND), "around")
-
-    inside = around.where("before is null").select("id", "f", F.col("p").alias("start"), F.lit(length).alias("size"))
-    around = around.where("before is not null")
-    e = around.join(repeated, "key")
-    firsts = e.where(_order("p").eqNullSafe(F.col("first"))).select("key", "c", F.struct("first.no_id", "first.id", "first.f", "first.p", "before", "after").alias("first"))
-    part = F.pmod(F.xxhash64("id", "f", "p"), F.ceil(F.col("c") / part_rows))
-    e = around.join(firsts, "key").withColumn("part", part).withColumn("no_id", F.col("id").isNull())
-    e = e.where(~F.struct("no_id", "id", "f", "p").eqNullSafe(F.struct("first.no_id", "first.id", "first.f", "first.p")))
-    e = e.select("key", "part", "after", "no_id", "id", "f", "p", "before", "first")
-    e = e.repartition("key", "part").sortWithinPartitions("key", "part", "after", "no_id", "id", "f", "p")
-    spans = e.mapInArrow(_neighbours(length), "id long, f long, start int, size int")
-    out = _apply(source, spans.unionByName(inside), "word")
+    around = keep(found.mapInArrow(_around(window, length), AROUND).withColumn("of", F.xxhash64("key", "kind")), "around")
+
+    ends = around.where(f"kind > {CHAIN} and not is_first")
+    firsts = probably_in(around.where("is_first"), "of", ends, "of")
+    level = _matched(ends.unionByName(firsts).select("key", "kind", "id", "f", "p", "ext"))
+    start = F.when(F.col("kind") == BEFORE, F.col("p") - F.col("level")).otherwise(F.col("p") + length)
+    spans = around.where(f"kind = {CHAIN}").select("id", "f", F.col("p").alias("start"), "size")
+    spans = spans.unionByName(level.select("id", "f", start.alias("start"), F.col("level").alias("size")))
+    out = _apply(source, spans, "word")
     return out.select("id", "n_words", "words_removed", "clean_text").withColumnRenamed("id", id_col)

@@ -277,13 +277,102 @@ def test_sentence_runs_of_every_length_and_end(spark):
     assert {i: got[i].n_removed for i in got} == {i: len(cut[i]) for i in got}
 
 
-def test_suffix_copies_and_parts(spark):
+def kept_suffixes(docs, k=3, window=16, length=32):
+    """Places (id, p) of the retained suffixes by their first words, from the operator's own minimisers."""
+    import pyarrow as pa
+
+    by = defaultdict(list)
+    for i, text, _ in docs:
+        offsets, data = common.text_buffers(pa.array([text]))
+        words = common.Words(offsets, data, 0, 1)
+        w = text.lower().split()
+        for p in repeats.minimisers(words, words.hashes(), k, window).tolist():
+            if p + length <= len(w):
+                by[tuple(w[p : p + length])].append((i, p))
+    return by
+
+
+def suffix_cuts(docs, window=16, length=32):
+    """Words to remove by the docstring, all pairs of occurrences compared."""
+    w = {i: t.lower().split() for i, t, _ in docs}
+    by = {key: sorted(x) for key, x in kept_suffixes(docs).items() if len(x) > 1}
+    again = defaultdict(list)
+    for key, places in by.items():
+        for i, p in places[1:]:
+            again[i].append((p, key))
+    cut, ends = defaultdict(set), {1: defaultdict(set), -1: defaultdict(set)}
+    for i, x in again.items():
+        x.sort()
+        for n, (p, key) in enumerate(x):
+            cut[i] |= set(range(p, p + length))
+            if n == 0 or p > x[n - 1][0] + length:
+                ends[-1][key].add((i, p))
+            if n == len(x) - 1 or x[n + 1][0] > p + length:
+                ends[1][key].add((i, p))
+
+    def strip(i, p, step):
+        return w[i][p + length : p + length + window] if step == 1 else w[i][max(0, p - window) : p][::-1]
+
+    for step in (1, -1):
+        for key, mine in ends[step].items():
+            witnesses = mine | {by[key][0]}
+            for i, p in mine:
+                a = strip(i, p, step)
+                most = max(sum(1 for _ in itertools.takewhile(lambda y: y[0] == y[1], zip(a, strip(*o, step)))) for o in witnesses if o < (i, p))
+                cut[i] |= set(range(p + length, p + length + most)) if step == 1 else set(range(p - most, p))
+    return {i: len(x) for i, x in cut.items() if x}
+
+
+def stems(seed, n=240):
+    """Documents that share 40 words, with tails and heads of a few kinds that part at every word."""
+    rng = random.Random(seed)
+    passage, tails, heads = prose(rng, 40), [prose(rng, 12).split() for _ in range(8)], [prose(rng, 20).split() for _ in range(6)]
+    docs = []
+    for i in range(n):
+        tail, head = rng.choice(tails), rng.choice(heads)
+        text = " ".join([prose(rng, rng.randint(0, 9)), *head[rng.randint(0, 20) :], passage, *tail[: rng.randint(0, 12)], prose(rng, rng.randint(0, 30))])
+        docs.append((i, text, "s"))
+    return docs
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_suffix_words_against_brute_force_whatever_the_partitions(spark, seed):
+    docs = planted(seed)[0] + [(i + 1000, t, s) for i, t, s in stems(seed)]
+    rng = random.Random(seed)
+    docs += [(i + 5000, " ".join(rng.choice(docs)[1].split()[rng.randint(0, 30) :]), "s") for i in range(60)]
+    want = suffix_cuts(docs)
+    df = spark.createDataFrame(docs, SCHEMA).repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n, aqe in ((1, "true"), (23, "false")):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        try:
+            out = repeats.suffix_array_dedup(df).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert {r.doc_id: r.words_removed for r in out if r.words_removed} == want
+    # what stays holds no word twice that the passage had: each is found once at least somewhere
+    assert sum(want.values()) > 5000
+
+
+def test_suffix_key_of_many_occurrences(spark):
+    """One passage in 6 000 documents with tails of 30 kinds: every one but the first of a kind goes whole."""
+    rng = random.Random(9)
+    passage, tails = prose(rng, 44), [prose(rng, 10) for _ in range(30)]
+    docs = [(i, f"{prose(rng, 4)} {passage} {tails[i % 30]} {prose(rng, 3)}", "s") for i in range(6000)]
+    out = {r.doc_id: r.words_removed for r in repeats.suffix_array_dedup(spark.createDataFrame(docs, SCHEMA).repartition(8)).collect()}
+    assert out[0] == 0 and all(54 <= out[i] <= 56 for i in range(30, 6000)) and all(44 <= out[i] < 54 for i in range(1, 30))
+
+
+def test_suffix_copies_of_rows(spark):
     docs, passages = planted(4)
-    df = spark.createDataFrame(docs + [(200, docs[1][1], "s"), (None, docs[1][1], "s")], SCHEMA)
-    whole = {r.doc_id: r.words_removed for r in repeats.suffix_array_dedup(df).collect()}
-    assert whole[200] == whole[None] == len(docs[1][1].split())
-    split = {r.doc_id: r.words_removed for r in repeats.suffix_array_dedup(df, part_rows=2).collect()}
-    assert {k for k, v in whole.items() if v} == {k for k, v in split.items() if v}
+    df = spark.createDataFrame(docs + [(200, docs[1][1], "s"), (200, docs[1][1], "s"), (None, docs[1][1], "s"), (7, docs[1][1], "s")], SCHEMA)
+    got = defaultdict(list)
+    for r in repeats.suffix_array_dedup(df).collect():
+        got[r.doc_id].append(r.words_removed)
+    n = len(docs[1][1].split())
+    assert got[200] == [n, n] and got[None] == [n] and n in got[7] and len(got[7]) == 2 and got[1] == [0]
 
 
 # --- 4 ----------------------------------------------------------------------------------------
