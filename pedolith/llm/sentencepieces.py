@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from pedolith.llm.common import chunks, mix, span_hashes, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE = 1 << 19
 MARK = 0x2581
-#: Words whose tokens a process remembers before it starts anew.
-REMEMBERED = 1 << 19
+#: Words, and tokens of theirs, that a process remembers before it starts anew.
+REMEMBERED, REMEMBERED_TOKENS = 1 << 19, 1 << 23
+#: Code points from which a word is encoded by itself, in windows and with a heap.
+LONG = 256
+WINDOW = 1 << 15
+#: Tokens decoded at a time.
+DECODED = 1 << 18
 UNKNOWN_PENALTY = 10.0
 _STEP = np.uint64(0x100000001B3)
 _MASK = (1 << 22) - 1
@@ -36,6 +42,7 @@ class Model:
     byte_ids: np.ndarray | None
     decoded: list[bytes]
     splits: bool
+    pieces: dict[str, tuple[float, int]]
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
@@ -43,7 +50,7 @@ class Model:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        keys, ids, scores, decoded, longest = [], [], [], [], 1
+        keys, ids, scores, decoded, longest, pieces = [], [], [], [], 1, {}
         bytes_ = np.full(256, -1, np.int32)
         splits = True
         for i in range(sp.get_piece_size()):
@@ -60,6 +67,7 @@ class Model:
                 keys.append(_hash(points))
                 ids.append(i)
                 scores.append(sp.get_score(i))
+                pieces[piece] = sp.get_score(i), i
                 longest = max(longest, len(points))
                 decoded.append(piece.replace(chr(MARK), " ").encode())
                 splits &= not bool(((points[1:] == MARK) & (points[:-1] != MARK)).any())
@@ -67,7 +75,7 @@ class Model:
         order = np.argsort(keys)
         assert len(np.unique(keys)) == len(keys)
         scores = np.array(scores, np.float64)
-        return cls(keys[order], np.array(ids, np.int32)[order], scores[order], longest, sp.unk_id(), float(scores.min()) - UNKNOWN_PENALTY, bytes_ if (bytes_ >= 0).all() else None, decoded, splits)
+        return cls(keys[order], np.array(ids, np.int32)[order], scores[order], longest, sp.unk_id(), float(scores.min()) - UNKNOWN_PENALTY, bytes_ if (bytes_ >= 0).all() else None, decoded, splits, pieces)
 
 
 def _hash(points: np.ndarray) -> int:
@@ -178,6 +186,59 @@ class Encoder:
         order = np.lexsort((end, row))
         return self._spelt(words, row[order], tok[order], end[order])
 
+    def long_viterbi(self, word: np.ndarray) -> np.ndarray:
+        """viterbi() of one word of any length: the lattice a window at a time, only its pieces walked."""
+        n, top = len(word), self.m.longest
+        best, back, tok = [0.0] + [-np.inf] * n, np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+        for lo in range(0, n, WINDOW):
+            base, hi = max(0, lo - top + 1), min(n, lo + WINDOW)
+            score, ident = (x[:, 0, lo - base + 1 :] for x in self.lattice(word[None, base:hi]))
+            size, end = np.nonzero(score > -np.inf)
+            order = np.lexsort((-size, end))  # by end, longest piece first
+            size, end = size[order], end[order]
+            found = zip((end + lo + 1).tolist(), (size + 1).tolist(), score[size, end].tolist(), ident[size, end].tolist(), strict=True)
+            for e, k, s, t in found:
+                s += best[e - k]
+                if s > best[e]:
+                    best[e], back[e], tok[e] = s, k, t
+        ends, at = [], n
+        while at:
+            ends.append(at)
+            at -= int(back[at])
+        ends = np.array(ends[::-1], np.int64)
+        return self._spelt(word[None], np.zeros(len(ends), np.int64), tok[ends], ends)[0]
+
+    def long_merges(self, word: np.ndarray) -> np.ndarray:
+        """merged() of one word of any length: pairs in a heap, n log n. A pair is a span of two adjacent pieces; one
+        whose pieces have changed is passed over unless they still make that span."""
+        pieces, top = self.m.pieces, self.m.longest
+        text = word.astype(np.uint32).tobytes().decode("utf-32-le", "replace")
+        n = len(text)
+        end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1") * n
+        heap = [(-pieces[text[i : i + 2]][0], i, i + 2) for i in range(n - 1) if text[i : i + 2] in pieces]
+        heapq.heapify(heap)
+
+        def offer(i: int, e: int) -> None:
+            if e - i <= top and (p := pieces.get(text[i:e])) is not None:
+                heapq.heappush(heap, (-p[0], i, e))
+
+        while heap:
+            _, i, e = heapq.heappop(heap)
+            j = end[i]
+            if not alive[i] or j >= n or end[j] != e:
+                continue
+            alive[j], end[i] = 0, e
+            if e < n:
+                before[e] = i
+                offer(i, end[e])
+            if i:
+                offer(before[i], e)
+        start = np.flatnonzero(np.frombuffer(bytes(alive), np.uint8))
+        stop = np.append(start[1:], n)
+        unknown = (0.0, self.m.unk_id)
+        tok = np.array([pieces.get(text[i:e], unknown)[1] for i, e in zip(start.tolist(), stop.tolist(), strict=True)], np.int32)
+        return self._spelt(word[None], np.zeros(len(start), np.int64), tok, stop)[0]
+
     def _spelt(self, words: np.ndarray, row: np.ndarray, tok: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters as the pieces of their bytes."""
         m, n = self.m, len(words)
@@ -203,6 +264,15 @@ class Encoder:
             length = int(size[order[i]])
             j = int(np.searchsorted(size[order], length, "right"))
             j = min(j, i + max(1, (1 << 15) // length))
+            if length > LONG:
+                j = i + 1
+                word = points[start[order[i]] : end[order[i]]].astype(np.uint64)
+                tok = self.long_viterbi(word) if self.method == "viterbi" else self.long_merges(word)
+                counts[order[i]] = len(tok)
+                tokens.append(tok)
+                done.append(order[i:j])
+                i = j
+                continue
             rows = order[i:j]
             encode = self.viterbi if self.method == "viterbi" else self.merged
             tok, n = encode(points[start[rows][:, None] + np.arange(length)].astype(np.uint64))
@@ -233,7 +303,7 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         end = np.append(start[1:], len(points))
         h = span_hashes(points, start, end)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or len(self.tokens) > REMEMBERED_TOKENS:
             self.clear()
         distinct, sample, word = np.unique(h, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
@@ -253,21 +323,24 @@ def decode_ids(model: Model, ids: list[int] | np.ndarray) -> str:
     return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, merges: bool = False) -> DataFrame:
-    """One row per input row: id, text, token_ids (array<int>); with `merges` also merge_ids.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, merges: bool = False, keep_cols: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, text, `keep_cols`, token_ids (array<int>); with `merges` also merge_ids.
 
     token_ids: the best path through the pieces of the model file by the sum of their scores; the text
     gets a space before it, spaces become U+2581, characters without a piece become their bytes'
     pieces (where the model has them, else the unknown id). merge_ids: what the merge order of a
     BPE file gives, equal to its own library's. Words are encoded once per process and remembered;
-    no piece spans two words (checked when the file is read, else a text is one word).
+    no piece spans two words (checked when the file is read, else a text is one word). Words of up to LONG
+    code points advance together by length; longer ones, as in text without spaces, by
+    themselves, in time n log n and memory in proportion to their length.
 
-    Null and empty texts have no tokens. Rows stand alone; an empty table gives an empty result;
-    columns other than the two named are ignored.
+    Null and empty texts have no tokens. Rows stand alone: repeated rows repeat; an empty table gives an
+    empty result; columns other than those named are ignored; ids are cast to long.
     """
     model = Model.load(model_path)
     methods = ("viterbi", "merges") if merges else ("viterbi",)
-    names = ["id", "text", "token_ids", "merge_ids"][: 2 + len(methods)]
+    fields = ["token_ids", "merge_ids"][: len(methods)]
+    names = ["id", "text", *(f"kept{i}" for i in range(len(keep_cols))), *fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = [Encoder(model, m) for m in methods]
@@ -279,19 +352,68 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 for encoder in encoders:
                     tokens, n = encoder.encode(texts)
                     lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(tokens, pa.int32())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *lists], names=names)
-
-    schema = "id long, text string, " + ", ".join(f"{c} array<int>" for c in names[2:])
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    return out.withColumnsRenamed({"id": id_col, "text": text_col})
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *lists], names=names)
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept{i}") for i, c in enumerate(keep_cols)])
+    schema = StructType([*source.schema.fields, *[StructField(c, ArrayType(IntegerType())) for c in fields]])
+    return source.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "text": text_col, **{f"kept{i}": c for i, c in enumerate(keep_cols)}})
+
+
+def _texts(model: Model):
+    """A list column of ids -> the texts, by takes of the pieces' bytes; rows with bytes that are no UTF-8 by themselves."""
+    size = np.array([len(b) for b in model.decoded], np.int64)
+    begin = np.cumsum(size) - size
+    blob = np.frombuffer(b"".join(model.decoded), np.uint8)
+    loose = np.array([not _is_text(b) for b in model.decoded])
+
+    def some(ids: np.ndarray, n: np.ndarray, null: np.ndarray) -> pa.Array:
+        take = size[ids]
+        total = np.concatenate([[0], np.cumsum(take)])
+        data = blob[np.repeat(begin[ids] - total[:-1], take) + np.arange(total[-1])]
+        first = np.concatenate([[0], np.cumsum(n)])
+        edge = total[first]
+        space = np.flatnonzero(edge[1:] > edge[:-1])
+        space = space[data[edge[space]] == 32]
+        stay = np.ones(len(data), bool)
+        stay[edge[space]] = False
+        shift = np.zeros(len(n) + 1, np.int64)
+        shift[space + 1] = 1
+        odd = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(loose[ids])])[first]) > 0)
+        if len(odd):
+            texts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((edge - np.cumsum(shift)).astype(np.int32).tobytes()), pa.py_buffer(data[stay].tobytes())]).to_pylist()
+            return pa.array([None if z else t.decode("utf-8", "replace") for t, z in zip(texts, null, strict=True)], pa.string())
+        valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+        return pa.Array.from_buffers(pa.string(), len(n), [valid, pa.py_buffer((edge - np.cumsum(shift)).astype(np.int32).tobytes()), pa.py_buffer(data[stay].tobytes())])
+
+    def run(column: pa.Array) -> pa.Array:
+        null = np.asarray(column.is_null())
+        n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = column.flatten().to_numpy(zero_copy_only=False)
+        edge = np.concatenate([[0], np.cumsum(n)])
+        out = [some(ids[edge[lo] : edge[hi]], n[lo:hi], null[lo:hi]) for lo, hi in chunks(edge, DECODED)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+    return run
+
+
+def _is_text(b: bytes) -> bool:
+    try:
+        b.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", model_path: str = MODEL) -> DataFrame:
-    """encoded with the text that its token ids stand for; null ids give null."""
-    model = Model.load(model_path)
+    """encoded with the text that its token ids stand for in `out_col`, which replaces a column of that name.
+
+    Null ids give null, no ids the empty text. Rows stand alone: repeated rows and ids repeat, an empty
+    table stays empty, other columns pass through as they are. A space at the start, which encoding adds, goes; bytes
+    that make no UTF-8 become U+FFFD."""
+    run = _texts(Model.load(model_path))
 
-    @F.pandas_udf("string")
-    def text_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else decode_ids(model, x))
+    @F.arrow_udf("string")
+    def text_of(ids: pa.Array) -> pa.Array:
+        return run(ids)
 
     return encoded.withColumn(out_col, text_of(F.col(ids_col)))
