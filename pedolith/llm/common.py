@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +19,49 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # --- durable intermediates -------------------------------------------------------------------
 
 
+_RUN = f"run-{uuid.uuid4().hex}"
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one in the warehouse where none is set (tests)."""
+    """The shared folder named by spark.checkpoint.dir. A local master (tests) may leave it unset: then one in the
+    warehouse; on a cluster that is an error, as a driver's own folder is not the executors'."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of all that this process keeps, inside work_dir(); scratch() opens one inside it."""
+    return "/".join([work_dir(spark).rstrip("/"), _RUN, *_SCRATCH])
+
+
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What operators keep inside this block lies in one folder, deleted at its end: for callers that write their
+    result before it. Without it the files stay in run_dir(), as results are read lazily."""
+    _SCRATCH.append(uuid.uuid4().hex)
+    path = run_dir(spark)
+    try:
+        yield path
+    finally:
+        _SCRATCH.pop()
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage ends there, and a
     lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
@@ -39,9 +72,7 @@ def forget(df: DataFrame | None) -> None:
     """Delete what keep() wrote, once nothing reads it any more."""
     path = getattr(df, "_kept_at", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -61,24 +92,49 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: Bits of the map that probably_in() sends to every executor: 2 MB, whatever the input.
-MAP_BITS = 1 << 24
+#: Least and most bits of the map that probably_in() sends to every executor: 2 to 128 MB.
+MAP_BITS, MOST_BITS = 1 << 24, 1 << 30
 
 
 def probably_in(rows: DataFrame, key: str, keys: DataFrame, keys_col: str, negate: bool = False) -> DataFrame:
     """Rows whose key is perhaps among keys (negate: those whose key certainly is not), told where the rows are read.
 
-    A bit map of fixed size is built from the keys and broadcast, so that a join that follows moves
-    only the rows that may match. With too many keys for the map it lets all rows through."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    bits = keys.select(slot(F.col(keys_col)).alias("s")).groupBy((F.col("s") / 64).cast("long").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_bits"))
+    A bit map of 16 bits a key, as counted, is built and broadcast, so that a join that follows
+    moves only the rows that may match. Keys for which the largest map would be half full get
+    none: all rows may match."""
+    bits = MAP_BITS
+    while bits < 16 * (n := keys.count()) and bits < MOST_BITS:
+        bits *= 2
+    if 2 * n > bits:
+        return rows.where(F.lit(False)) if negate else rows
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bits_of = keys.select(slot(F.col(keys_col)).alias("s")).groupBy((F.col("s") / 64).cast("long").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_bits"))
     s = fresh(rows, "slot")
     out = rows.withColumn(s, slot(F.col(key)))
-    out = out.join(F.broadcast(bits), (F.col(s) / 64).cast("long") == F.col("_word"), "left")
+    out = out.join(F.broadcast(bits_of), (F.col(s) / 64).cast("long") == F.col("_word"), "left")
     hit = F.coalesce(F.expr(f"shiftrightunsigned(_bits, cast({s} % 64 as int)) & 1L"), F.lit(0).cast("long")) == 1
     return out.where(~hit if negate else hit).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
+#: A key with more than this share of all rows is heavy: fewer than HEAVY keys are, whatever the input.
+HEAVY = 1000
+
+
+def join_few(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows left-joined with groups(key, size, ...), one row a key, size the rows that have it.
+
+    Keys with more than a HEAVY-th of all rows, fewer than HEAVY by that, are broadcast, so their rows stay
+    where they are; only rows of the others are shuffled, and none of those fills a task."""
+    n = rows.count()
+    heavy = groups.where(F.col(size) * HEAVY > n)
+    light = groups.where(F.col(size) * HEAVY <= n)
+    more = [c for c in groups.columns if c != key]
+    marked = rows.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), key, "left")
+    of_heavy = marked.where("_heavy").drop("_heavy")
+    rest = marked.where("_heavy is null").drop("_heavy", *more).join(light, key, "left")
+    return of_heavy.select(*rest.columns).unionByName(rest)
+
+
 # --- words, vectorised over an Arrow string column ---------------------------------------------
 
 _SPACE = np.zeros(256, bool)

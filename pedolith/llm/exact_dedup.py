@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pedolith.llm.common import WS, keep
+from pedolith.llm.common import WS, join_few, keep
 
 #: Live (length, prefix) groups are broadcast only when their bytes, counted first, stay under this.
 BROADCAST_BYTES = 8 << 20
@@ -26,8 +26,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        grouping by hash. `digest_all` also hashes settled rows, whose hash is then an output only.
 
     Rows are narrow in every shuffle; groups are reduced by partial counts and minima, so a group
-    with a third of all rows is never gathered. The group's row is joined back, where AQE splits a
-    hot hash.
+    with a third of all rows is never gathered. Groups with more than a thousandth of the rows, of
+    which there are fewer than a thousand, meet their rows by broadcast, the others by shuffle.
 
     Null text counts as empty. Of rows that share text and id one is kept. A null id sorts after all
     others. An empty table gives an empty result; columns other than the two named are ignored.
@@ -52,8 +52,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid"))
     groups = found.where("hit").groupBy("sha").agg(F.count("*").alias("size"), first.alias("first")).where("size > 1")
-    groups = groups.select("sha", "size", F.col("first.id").alias("keep_id"), F.col("first.uid").alias("keep_uid"))
-    in_group = found.where("hit").join(groups, "sha", "left")
+    groups = keep(groups.select("sha", "size", F.col("first.id").alias("keep_id"), F.col("first.uid").alias("keep_uid")), "groups")
+    in_group = join_few(found.where("hit"), groups, "sha", "size")
     alone = F.col("size").isNull()
     in_group = in_group.select(
         "id",
