@@ -18,7 +18,8 @@ from pedolith.llm.sentencepieces import encode
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule."""
+    """Documents that fail no rule, row by row: ids, repeated rows and other columns do not matter; null text has no
+    words and goes; an empty table stays empty."""
     judged = quality(docs)
     return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
 
@@ -27,7 +28,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of equal texts (white space apart), that of the smallest doc_id.
 
     Only rows of an id that some dropped row has are moved; of those, the row whose (doc_id, hash) is
-    kept stays, one of several that share both."""
+    kept stays, one of several that share both. Null text counts as empty, a null id sorts last."""
     found = keep(exact_dedup(docs, digest_all=True), "decisions")
     dropped = found.where("not kept").select("doc_id")
     clear = probably_in(docs, "doc_id", dropped, "doc_id", negate=True)
@@ -42,7 +43,8 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more.
 
     Decided by (doc_id, fingerprint of the shingles): the group's smallest stays, null ids last, one
-    of several rows that share both. Only rows of an id that some dropped row has are moved."""
+    of several rows that share both. Only rows of an id that some dropped row has are moved. Rows without
+    words have no near copy and stay; an empty table stays empty; other columns may have any name."""
     found = near_duplicates(docs, groups=True).where("n_shingles > 0")
     found = keep(found.groupBy("doc_id", "f1", "comp").agg(F.count("*").alias("n")), "verdicts")
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "f1")
@@ -59,22 +61,29 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: its blocks' words, rounded to whole copies by the document's own
-    hash so that a source keeps its share. A document that the mix takes in part once stays whole."""
-    taken = mix(docs).select(F.col("doc_id").alias("t_id"), "size", "taken").distinct()
+    """Documents as often as the mix takes them: its blocks' words, rounded to whole copies by a hash of id and text so
+    that a source keeps its share. A document that the mix takes in part once stays whole.
+
+    A row is told by (id, source, text), null ids too; rows that share all three are taken alike, each
+    by their mean. Rows without words take nothing and go; an empty table stays empty."""
+    prints = fresh(docs, "print")
+    me = ["doc_id", "source", "print"]
+    taken = mix(docs).groupBy(*me).agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     share = F.col("taken") / F.nullif("size", F.lit(0))
-    chance = F.pmod(F.xxhash64(F.lit(7), "t_id"), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64(F.lit(7), "doc_id", "print"), F.lit(1 << 30)) / float(1 << 30)
     copies = F.coalesce(F.floor(share) + (chance < share - F.floor(share)).cast("long"), F.lit(0).cast("long"))
-    taken = taken.groupBy("t_id").agg(F.max(copies).alias("copies")).where("copies > 0")
     n = fresh(docs, "copies")
-    out = docs.join(taken.withColumnRenamed("copies", n), F.col("doc_id").eqNullSafe(F.col("t_id")))
+    taken = taken.select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("print").alias("t_print"), copies.alias(n)).where(F.col(n) > 0)
+    out = docs.withColumn(prints, F.xxhash64("text"))
+    out = out.join(taken, F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col(prints) == F.col("t_print")))
     return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token_ids and their number."""
-    coded = encode(docs.select("doc_id", "text"))
-    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    """doc_id, source, n_tokens, token_ids, merge_ids of each row, as it stands: token_ids are the best path's,
+    merge_ids those of the model's own library. Null and empty texts have none; repeated rows repeat."""
+    coded = encode(docs.select("doc_id", "text", "source"), merges=True, keep_cols=("source",))
+    return coded.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "merge_ids")
 
 
 STAGES = [
