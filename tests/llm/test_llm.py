@@ -61,6 +61,7 @@ OPERATORS = {
     "quality": lambda d: quality.quality(d),
     "minhash": lambda d: minhash.near_duplicates(d),
     "mix": lambda d: mixing.mix(d),
+    "decode": lambda d: sp.decode(sp.encode(d)),
 }
 
 
@@ -670,6 +671,45 @@ def test_mix_targets_and_limits(spark):
     assert again == {i: r.taken for i, r in got.items()}
 
 
+def test_mix_deals_rows_of_one_id_over_shards(spark):
+    rng = random.Random(10)
+    same = prose(rng, 40)
+    rows = [(None, same, "a")] * 400 + [(7, prose(rng, 40), "a") for _ in range(400)] + [(i, prose(rng, 40), "b") for i in range(100, 300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for fanout in (3, 1024):
+        got = [(r.doc_id, r.print, r.taken) for r in mixing.mix(df, shard_tokens=4000, fanout=fanout).collect()]
+        assert len(got) == len(rows) and all(0 <= t <= 80 for _, _, t in got)
+        again = mixing.mix(df.repartition(9), shard_tokens=4000, fanout=fanout).collect()
+        assert Counter(got) == Counter((r.doc_id, r.print, r.taken) for r in again)
+        out = mixing.mix(df, shard_tokens=4000, fanout=fanout)
+        sums = {r.source: (r.t, r.target) for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target")).collect()}
+        assert all(t == pytest.approx(target, rel=0.02) for t, target in sums.values())
+
+
+def test_mix_against_block_selection(spark):
+    """taken from the laid-out words: each word of the mix is counted by its block."""
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.randint(0, 90)), rng.choice("ab")) for i in range(120)]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, SCHEMA), shard_tokens=1 << 18).collect()}
+    h = {r.doc_id: (r.h, r.print) for r in spark.createDataFrame(rows, SCHEMA).select("doc_id", F.xxhash64("text").alias("print")).select("doc_id", "print", F.xxhash64(F.lit(21), "doc_id", "print", F.lit(0).cast("long")).alias("h")).collect()}
+    shift_of = {r.idx: r.h for r in spark.range(2).select(F.col("id").alias("idx"), F.xxhash64(F.lit(20), "id", F.lit(0).cast("long")).alias("h")).collect()}
+    targets_ = {r.source: r.target for r in got.values()}
+    seats, votes = round(sum(targets_.values()) / 32), targets_
+    quota = dict.fromkeys("ab", 0)
+    for _ in range(seats):
+        quota[max("ab", key=lambda s: (votes[s] / (2 * quota[s] + 1), s == "a"))] += 1
+    for idx, source in enumerate("ab"):
+        mine = sorted((i for i, t, s in rows if s == source and t.split()), key=lambda i: h[i][0])
+        words = [i for i in mine for _ in range(got[i].size)]
+        m = -(-len(words) // 32)
+        q = min(quota[source], 2 * m)
+        times = [q // m + ((b * mixing.PRIME + shift_of[idx] % m) % m < q % m) for b in range(m)]
+        want = Counter()
+        for at, i in enumerate(words):
+            want[i] += times[at // 32]
+        assert {i: got[i].taken for i in mine} == {i: want[i] for i in mine}
+
+
 def test_sainte_lague_deals_by_highest_quotients(spark):
     rng = random.Random(11)
     rows, want = [], {}
@@ -685,6 +725,38 @@ def test_sainte_lague_deals_by_highest_quotients(spark):
     assert {(r.g, r.k): r.quota for r in got.collect()} == want
 
 
+# --- pieces of any length ------------------------------------------------------------------------
+
+
+@needs_model
+def test_long_words_equal_short_ones_and_take_seconds(monkeypatch):
+    import time
+
+    m, rng = sp.Model.load(), random.Random(1)
+    letters = ["th", "e", "in", "g", "\u4e2d", "\u6587", "\U0001f600", "0", "=", "\u0391"]
+    monkeypatch.setattr(sp, "WINDOW", 97)
+    e = sp.Encoder(m)
+    for n in (1, 2, 60, 700):
+        for word in ("".join(rng.choice(letters) for _ in range(n)), "a" * n, "ab" * n):
+            w = np.frombuffer((chr(sp.MARK) + word).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            assert list(e.viterbi(w[None])[0]) == list(e.long_viterbi(w)) and list(e.merged(w[None])[0]) == list(e.long_merges(w))
+    monkeypatch.undo()
+    big = "".join(rng.choice(letters) for _ in range(600_000))
+    for method in ("viterbi", "merges"):
+        began = time.time()
+        ids, n = sp.Encoder(m, method).encode([big])
+        assert sp.decode_ids(m, ids) == big and time.time() - began < 60
+
+
+@needs_model
+def test_decode_of_odd_ids(spark):
+    m = sp.Model.load()
+    byte = int(m.byte_ids[0xE6])
+    rows = [(1, None), (2, []), (3, [byte]), (4, sp.Encoder(m).encode([" a b\u65e5\U0001f600"])[0].tolist()), (5, [byte, byte])]
+    out = {r.i: r.decoded for r in sp.decode(spark.createDataFrame(rows, "i int, token_ids array<int>")).collect()}
+    assert out == {i: None if x is None else sp.decode_ids(m, x) for i, x in rows}
+
+
 # --- the pipeline -----------------------------------------------------------------------------
 
 
@@ -719,6 +791,48 @@ def test_pipeline_stages_against_brute_force(spark, data):
     assert all(sp.decode_ids(m, r.token_ids) == texts[r.doc_id] for r in kept["sentence_pieces"].collect())
 
 
+STAGES = ["quality_rules", "exact_dedup", "near_dedup", "source_mix", "sentence_pieces"]
+
+
+@needs_model
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_on_odd_empty_and_clashing_rows(spark, odd, none, clashing, name):
+    import corpus_pipeline as cp
+
+    stage = dict(cp.STAGES)[name]
+    rng = random.Random(31)
+    good = "The cat and the dog ran to the house. " * 3 + prose(rng, 60)
+    rows = odd_rows() + [(20, good, "s"), (20, good, "s"), (None, good, "t"), (20, prose(rng, 80), None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    texts = lambda out: Counter((r.doc_id, r.text) for r in out.collect())
+    assert stage(spark, none, "").count() == 0
+    extra = clashing.select(*[c for c in clashing.columns if c.lower() not in ("text", "doc_id", "source")], "doc_id", "text", "source")
+    out, more = stage(spark, df, ""), stage(spark, extra, "")
+    if name == "sentence_pieces":
+        m = sp.Model.load()
+        assert Counter((r.doc_id, r.source, sp.decode_ids(m, r.token_ids)) for r in out.collect()) == Counter((i, s, t or "") for i, t, s in rows)
+        assert all(sp.decode_ids(m, r.token_ids) == sp.decode_ids(m, r.merge_ids) for r in out.collect()) and more.count() == len(odd_rows())
+        return
+    assert out.columns == df.columns and more.columns == extra.columns
+    assert texts(more) == texts(stage(spark, odd, ""))
+    got = texts(out)
+    if name == "quality_rules":
+        kept = texts(quality.quality(df).where("kept").select("doc_id", "text"))
+        assert got == kept and got[20, good] == 2 and got[None, good] == 1 and not got[3, None]
+    if name == "exact_dedup":
+        norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        first = {}
+        for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+            first.setdefault(norm(t), i)
+        assert Counter((i, norm(t)) for i, t in got.elements()) == Counter((i, t) for t, i in first.items())
+    if name == "near_dedup":
+        assert got[20, good] == 1 and got[None, good] == 0 and got[3, None] == got[4, ""] == 1 and got[8, "one"] + got[9, "ONE"] == 1
+    if name == "source_mix":
+        assert all(n <= 2 * Counter((i, t) for i, t, _ in rows)[key] for key, n in got.items()) and not got[3, None] and not got[4, ""]
+        words = sum(len(WORD.findall(t or "")) * n for (_, t), n in got.items())
+        assert words > 0
+
+
 def test_near_duplicate_stage_on_null_and_repeated_ids(spark):
     import corpus_pipeline as cp
 
