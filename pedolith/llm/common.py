@@ -108,11 +108,11 @@ def probably_in(rows: DataFrame, key: str, keys: DataFrame, keys_col: str, negat
     if 2 * n > bits:
         return rows.where(F.lit(False)) if negate else rows
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    bits_of = keys.select(slot(F.col(keys_col)).alias("s")).groupBy((F.col("s") / 64).cast("long").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_bits"))
-    s = fresh(rows, "slot")
+    s, word, map_ = fresh(rows, "slot"), fresh(rows, "_word"), fresh(rows, "_bits")
+    bits_of = keys.select(slot(F.col(keys_col)).alias("s")).groupBy((F.col("s") / 64).cast("long").alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias(map_))
     out = rows.withColumn(s, slot(F.col(key)))
-    out = out.join(F.broadcast(bits_of), (F.col(s) / 64).cast("long") == F.col("_word"), "left")
-    hit = F.coalesce(F.expr(f"shiftrightunsigned(_bits, cast({s} % 64 as int)) & 1L"), F.lit(0).cast("long")) == 1
+    out = out.join(F.broadcast(bits_of), (F.col(s) / 64).cast("long") == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned({map_}, cast({s} % 64 as int)) & 1L"), F.lit(0).cast("long")) == 1
     return out.where(~hit if negate else hit).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
@@ -120,18 +120,19 @@ def probably_in(rows: DataFrame, key: str, keys: DataFrame, keys_col: str, negat
 HEAVY = 1000
 
 
-def join_few(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """rows left-joined with groups(key, size, ...), one row a key, size the rows that have it.
+def join_few(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows left-joined with groups(*keys, size, ...), one row a key, size the rows that have it.
 
     Keys with more than a HEAVY-th of all rows, fewer than HEAVY by that, are broadcast, so their rows stay
     where they are; only rows of the others are shuffled, and none of those fills a task."""
     n = rows.count()
     heavy = groups.where(F.col(size) * HEAVY > n)
     light = groups.where(F.col(size) * HEAVY <= n)
-    more = [c for c in groups.columns if c != key]
-    marked = rows.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), key, "left")
-    of_heavy = marked.where("_heavy").drop("_heavy")
-    rest = marked.where("_heavy is null").drop("_heavy", *more).join(light, key, "left")
+    more = [c for c in groups.columns if c not in keys]
+    mark = fresh(rows, "_heavy")
+    marked = rows.join(F.broadcast(heavy.withColumn(mark, F.lit(True))), keys, "left")
+    of_heavy = marked.where(mark).drop(mark)
+    rest = marked.where(F.col(mark).isNull()).drop(mark, *more).join(light, keys, "left")
     return of_heavy.select(*rest.columns).unionByName(rest)
 
 

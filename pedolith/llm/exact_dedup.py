@@ -53,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid"))
     groups = found.where("hit").groupBy("sha").agg(F.count("*").alias("size"), first.alias("first")).where("size > 1")
     groups = keep(groups.select("sha", "size", F.col("first.id").alias("keep_id"), F.col("first.uid").alias("keep_uid")), "groups")
-    in_group = join_few(found.where("hit"), groups, "sha", "size")
+    in_group = join_few(found.where("hit"), groups, ["sha"], "size")
     alone = F.col("size").isNull()
     in_group = in_group.select(
         "id",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from pedolith.llm.common import Words, chunks, components, forget, keep, mix, probably_in, shingles, signed, text_buffers
+from pedolith.llm.common import Words, chunks, components, join_few, keep, mix, probably_in, shingles, signed, text_buffers
 
 #: Bands and rows a band. At the least similarity linked, 0.85, a pair shares no band with
 #: probability (1 - 0.85^6)^36 < 5e-8.
@@ -25,6 +25,8 @@ PIECE = 1 << 18
 SMALL_BUCKET = 48
 #: Nodes and text bytes of a block of a family: a task holds two blocks.
 BLOCK_NODES, BLOCK_BYTES = 512, 8 << 20
+#: Parts that a family's nodes are dealt over when they learn how many blocks it has.
+SALTS = 256
 
 _PRINT = np.uint64(0x1234567)
 SIGNATURE = "id long, n_shingles long, f1 long, f2 long, bands array<long>, planes array<long>"
@@ -143,20 +145,56 @@ def _confirm(threshold: int, width: int):
     return run
 
 
+def _likely(table: pa.Table, threshold: int, least: float, k: int):
+    """Pairs (likelihood, left row, right row) of two blocks of a family, or of one: rows of different components whose
+    sizes and bit counts allow the threshold, 64 left rows at a time."""
+    words = -(-k // 64)
+    chance = 2.0**-BITS
+    comp, size, own = (table.column(c).to_numpy() for c in ("comp", "n_shingles", "own"))
+    one_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    planes = table.column("planes").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, BITS * words)
+    left, right = (np.arange(len(own)), np.arange(len(own))) if one_block else (np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min()))
+    for lo in range(0, len(left), 64):
+        rows = left[lo : lo + 64]
+        differ = np.zeros((len(rows), len(right)), np.int64)
+        for w in range(words):
+            d = np.zeros(differ.shape, np.uint64)
+            for bit in range(BITS):
+                x = planes[:, bit * words + w]
+                d |= x[rows][:, None] ^ x[right][None, :]
+            differ += np.bitwise_count(d)
+        likely = ((k - differ) / k - chance) / (1 - chance)
+        a, b = size[rows][:, None], size[right][None, :]
+        ok = (likely >= least) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b)) & (comp[rows][:, None] != comp[right][None, :])
+        if one_block:
+            ok &= rows[:, None] < right[None, :]
+        x, y = np.nonzero(ok)
+        yield likely[x, y], rows[x], right[y]
+
+
+def _survivors(threshold: int, least: float, k: int):
+    """The rows of two blocks that some pair of them needs, without texts: (family, i, j, own, node)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        needed = np.zeros(table.num_rows, bool)
+        for _, x, y in _likely(table, threshold, least, k):
+            needed[x] = needed[y] = True
+        return table.select(["family", "i", "j", "own", "node"]).filter(pa.array(needed))
+
+    return run
+
+
 def _between_blocks(threshold: int, width: int, least: float, k: int):
     """Nodes of two blocks of a family -> links that join components, at most one less than nodes.
 
     Components known so far stand as they are. Pairs across the blocks (within the block, where both
     are one) whose sizes and bit counts allow the threshold are confirmed on their full sets, the
     likeliest first, and passed over once their components have met."""
-    words = -(-k // 64)
-    chance = 2.0**-BITS
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, comp, size, own = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "own"))
-        one_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        planes = np.array(table.column("planes").to_pylist(), np.int64).view(np.uint64)
+        node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
         offsets, data = text_buffers(table.column("text"))
         _, label = np.unique(comp, return_inverse=True)
         parent = np.arange(label.max() + 1 if len(label) else 0)
@@ -167,24 +205,7 @@ def _between_blocks(threshold: int, width: int, least: float, k: int):
                 x = parent[x]
             return x
 
-        left, right = (np.arange(len(node)), np.arange(len(node))) if one_block else (np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min()))
-        found = []
-        for lo in range(0, len(left), 64):
-            rows = left[lo : lo + 64]
-            differ = np.zeros((len(rows), len(right)), np.int64)
-            for w in range(words):
-                d = np.zeros(differ.shape, np.uint64)
-                for bit in range(BITS):
-                    x = planes[:, bit * words + w]
-                    d |= x[rows][:, None] ^ x[right][None, :]
-                differ += np.bitwise_count(d)
-            likely = ((k - differ) / k - chance) / (1 - chance)
-            a, b = size[rows][:, None], size[right][None, :]
-            ok = (likely >= least) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b)) & (label[rows][:, None] != label[right][None, :])
-            if one_block:
-                ok &= rows[:, None] < right[None, :]
-            x, y = np.nonzero(ok)
-            found.append((likely[x, y], rows[x], right[y]))
+        found = list(_likely(table, threshold, least, k))
         likely, x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
         sets: dict[int, np.ndarray] = {}
 
@@ -244,9 +265,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. Components are formed. A bucket whose members all stand in one component is settled. In the
        others, members of different components are compared: pair by pair in buckets of at most
        SMALL_BUCKET; the nodes of larger ones form families, each node once, whose blocks of
-       BLOCK_NODES meet two by two in numpy and return only links that join components. No candidate
-       is capped, no task holds more than two blocks, and rows made stay linear in a group's nodes
-       but for its number of blocks.
+       BLOCK_NODES meet two by two in numpy: by packed minima first, then only the nodes that some
+       pair needs, with their texts. Only links that join components come out. No candidate is
+       capped, no task holds more than two blocks, and rows made stay linear in a group's nodes
+       but for its number of blocks, texts only for nodes still in doubt.
 
     Null text counts as empty. Rows that share an id are separate rows and share their component's
     smallest id; kept compares null-safe, so a row with a null id alone in its component stays. An
@@ -255,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     s = keep(signatures(source, "id", "text", width, bands, rows).withColumn("uid", F.monotonically_increasing_id()), "signatures")
 
-    classes = s.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("uid").alias("node"), F.min("id").alias("least_id"))
+    classes = s.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("uid").alias("node"), F.min("id").alias("least_id"), F.count("*").alias("n_rows"))
     classes = keep(classes, "classes")
     nodes = s.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "id", "f1", "n_shingles", "bands", "planes")
 
@@ -299,12 +321,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = placed.where(F.col("c") > SMALL_BUCKET)
     families = components(large.select(F.col("comp").alias("a"), F.col("hub").alias("b")).distinct())
     in_family = large.select("node", "comp").distinct().join(families.select(F.col("node").alias("comp"), F.col("comp").alias("family")), "comp")
-    in_family = keep(in_family.join(known.select("node", "n_shingles", "planes"), "node").join(texts, "node"), "families")
-    blocks = in_family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = in_family.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    lengths = texts.select("node", F.octet_length("text").alias("bytes"))
+    in_family = in_family.join(known.select("node", "n_shingles", "planes"), "node").join(lengths, "node")
+    in_family = keep(in_family.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))), "families")
+    blocks = in_family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = in_family.join(blocks, ["family", "salt"]).withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n_shingles", "planes", "text")
-    many = dealt.groupBy("family", "i", "j").applyInArrow(_between_blocks(threshold, width, least, k), "a long, b long")
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n_shingles", "planes")
+    # first without texts: which nodes of two blocks some pair needs; then those with their texts
+    needed = dealt.groupBy("family", "i", "j").applyInArrow(_survivors(threshold, least, k), "family long, i int, j int, own int, node long")
+    needed = keep(needed, "needed").join(in_family.select("node", "comp", "n_shingles", "planes"), "node").join(texts, "node")
+    many = needed.groupBy("family", "i", "j").applyInArrow(_between_blocks(threshold, width, least, k), "a long, b long")
     more = keep(few.unionByName(many), "links")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
@@ -312,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least_of = comp.join(classes, "node").groupBy("comp").agg(F.min("least_id").alias("component_id"))
     of_class = classes.join(comp, "node", "left").join(least_of, "comp", "left")
     more = ["f1", "comp"] if groups else []
-    of_class = of_class.select("f1", "f2", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("comp", "node").alias("comp"))
-    out = s.select("id", "n_shingles", "f1", "f2").where("n_shingles > 0").join(of_class, ["f1", "f2"], "left").select("id", "n_shingles", "component_id", *more)
+    of_class = keep(of_class.select("f1", "f2", "n_rows", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("comp", "node").alias("comp")), "of_class")
+    out = join_few(s.select("id", "n_shingles", "f1", "f2").where("n_shingles > 0"), of_class, ["f1", "f2"], "n_rows").select("id", "n_shingles", "component_id", *more)
     out = out.unionByName(s.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), "f1", F.lit(None).cast("long").alias("comp")).select("id", "n_shingles", "component_id", *more))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
