@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedolith.llm.common import fresh, keep, probably_in, table
+from pedolith.llm.common import fresh, join_few, keep, probably_in, table
 from pedolith.llm.exact_dedup import exact_dedup, normalised
 from pedolith.llm.minhash import near_duplicates, with_prints
 from pedolith.llm.mixing import mix
@@ -48,8 +48,8 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = near_duplicates(docs, groups=True).where("n_shingles > 0")
     found = keep(found.groupBy("doc_id", "f1", "comp").agg(F.count("*").alias("n")), "verdicts")
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "f1")
-    first = found.groupBy("comp").agg(F.min(me).alias("first"), F.sum("n").alias("c")).where("c > 1").drop("c")
-    marked = found.join(first, "comp").withColumn("stays", me.eqNullSafe(F.col("first"))).where("not stays or n > 1")
+    first = found.groupBy("comp").agg(F.min(me).alias("first"), F.count("*").alias("c"))
+    marked = join_few(found, keep(first, "firsts"), ["comp"], "c").withColumn("stays", me.eqNullSafe(F.col("first"))).where("not stays or n > 1")
     marked = keep(marked.select(F.col("doc_id").alias("m_id"), F.col("f1").alias("m_f1"), F.col("stays").alias("m_stays")), "marked")
     clear = probably_in(docs, "doc_id", marked, "m_id", negate=True)
     f1 = fresh(docs, "f1")
