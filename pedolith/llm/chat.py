@@ -112,15 +112,19 @@ def link_tool_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
     no conversation is gathered into one row or task.
 
     Null text is an empty message. Items without id are unanswered or orphan. Repeated rows repeat their
-    messages; their calls count as duplicates of the first in (turn, idx) order. Other columns are
-    ignored; an empty table gives an empty result.
+    messages; their calls and results count as duplicates of the first in (turn, idx, content) order, one of
+    equal ones being the first. Other columns are ignored; an empty table gives an empty result. The
+    order takes a round of joins for each link of the longest chain of items that had to move.
     """
-    x = keep(items(messages), "items")
-    calls, results = (x.where(F.col("kind") == k).where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "idx")).alias(f"first_{k}")) for k in ("call", "result"))
+    x = keep(items(messages).withColumn("uid", F.monotonically_increasing_id()), "items")
+    # rows that share turn and index: by content, then any of equal ones, which no column tells apart
+    content = F.xxhash64("kind", "role", "call_id", "name", "arguments", "deps", "content")
+    x = x.withColumn("here", F.struct("turn", "idx", content.alias("content"), "uid")).drop("uid")
+    calls, results = (x.where(F.col("kind") == k).where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("here").alias(f"first_{k}")) for k in ("call", "result"))
     pairs = calls.join(results, ["conv_id", "call_id"], "full")
-    plain = x.where("kind = 'message'").withColumns({"status": F.lit("plain"), "errors": F.array().cast("array<string>")})
+    plain = x.where("kind = 'message'").withColumns({"status": F.lit("plain"), "errors": F.array().cast("array<string>")}).drop("here")
     t = x.where("kind <> 'message'").join(pairs, ["conv_id", "call_id"], "left")
-    here = F.struct("turn", "idx")
+    here = F.col("here")
     status = (
         F.when((F.col("kind") == "call") & (here != F.col("first_call")), F.lit("duplicate"))
         .when((F.col("kind") == "result") & (here != F.col("first_result")), F.lit("duplicate"))
@@ -128,7 +132,7 @@ def link_tool_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
         .when((F.col("kind") == "result") & F.col("first_call").isNull(), F.lit("orphan"))
         .otherwise(F.lit("linked"))
     )
-    t = t.withColumn("status", status).drop("first_call", "first_result")
+    t = t.withColumn("status", status).drop("first_call", "first_result", "here")
     known = keep(tools.select(F.col("name").alias("tool"), "params"), "tools")
     t = t.join(known, F.col("name") == F.col("tool"), "left")
     errors = F.when(F.col("kind") != "call", F.array().cast("array<string>")).when(F.col("tool").isNull(), F.array(F.lit("name: unknown tool"))).otherwise(_errors(F.col("arguments"), F.col("params")))
@@ -145,17 +149,41 @@ def link_tool_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:
-    """Plain conversations in envelopes: a user turn calls the tool `reply` with its text, the turn after it, if an
-    assistant's, is the result; an assistant's turn answers the call of the turn before. Calls depend on the call
-    two turns before. Other roles stay plain."""
+    """Plain conversations in envelopes, every row of them: a user's turn calls a tool with its text, an assistant's
+    turn is the result of the call of the turn before; other roles stay plain.
+
+    Calls go to the tools of REPLY and depend on the call two turns before, unless that depends on them. So that linking has all
+    its cases to tell, the remainder of 7 * conv_id + 13 * turn by 16 makes some of them differ:
+    0 no `turn` argument, 1 `turn` as a string, 2 an argument too many, 3 an unknown tool, 4 arguments
+    that are no object, 5 the call twice, 6 it depends on the call two turns later, 7 (assistant) the result
+    of a call that is not there, 8 (assistant) a second result for the call three turns before, 9 two calls,
+    the first in need of the second. Null text counts as empty, a null conversation or turn as remainder
+    10; repeated rows repeat; an empty table stays empty."""
     text = F.coalesce("text", F.lit(""))
-    call_id = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
-    arguments = F.to_json(F.struct(text.alias("prompt"), F.col("turn").alias("turn")))
-    call = F.struct(call_id(F.col("turn")).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(call_id(F.col("turn") - 2))).alias("depends_on"))
-    asked = F.to_json(F.struct(F.array(call).alias("tool_calls")))
-    answered = F.to_json(F.struct(call_id(F.col("turn") - 1).alias("tool_call_id"), text.alias("content")))
+    case_at = lambda turn: F.coalesce(F.pmod(7 * F.col("conv_id") + 13 * turn, F.lit(16)), F.lit(10)).cast("int")
+    case = case_at(F.col("turn"))
+    call_id = lambda turn, more="": F.concat(F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")), F.lit(more))
+    turn = F.col("turn")
+    arguments = (
+        F.when(case == 0, F.to_json(F.struct(text.alias("prompt"))))
+        .when(case == 1, F.to_json(F.struct(text.alias("prompt"), turn.cast("string").alias("turn"))))
+        .when(case == 2, F.to_json(F.struct(text.alias("prompt"), turn.alias("turn"), F.lit(True).alias("loud"))))
+        .when(case == 4, F.to_json(F.array(text)))
+        .otherwise(F.to_json(F.struct(text.alias("prompt"), turn.alias("turn"))))
+    )
+    deps = F.when(case == 6, F.array(call_id(turn + 2))).when(case == 9, F.array(call_id(turn, ":b"))).when((turn >= 2) & (case_at(turn - 2) != 6), F.array(call_id(turn - 2)))
+    name = F.when(case == 3, F.lit("answer")).otherwise(F.lit("reply"))
+    call = F.struct(call_id(turn).alias("id"), name.alias("name"), arguments.alias("arguments"), deps.alias("depends_on"))
+    second = F.struct(call_id(turn, ":b").alias("id"), F.lit("look_up").alias("name"), F.to_json(F.struct(text.alias("query"))).alias("arguments"), F.array().cast("array<string>").alias("depends_on"))
+    calls = F.when(case == 5, F.array(call, call)).when(case == 9, F.array(call, second)).otherwise(F.array(call))
+    asked = F.to_json(F.struct(calls.alias("tool_calls")))
+    of = F.when(case == 7, call_id(turn, ":none")).when(case == 8, call_id(turn - 3)).otherwise(call_id(turn - 1))
+    answered = F.to_json(F.struct(of.alias("tool_call_id"), text.alias("content")))
     return conversations.select("conv_id", "turn", "role", F.when(F.col("role") == "user", asked).when(F.col("role") == "assistant", answered).otherwise(text).alias("text"))
 
 
-#: The tool that turns_as_calls() calls.
-REPLY = "select 'reply' as name, array(named_struct('arg', 'prompt', 'type', 'string', 'required', true), named_struct('arg', 'turn', 'type', 'integer', 'required', true)) as params"
+#: The tools that turns_as_calls() calls.
+REPLY = """
+select 'reply' as name, array(named_struct('arg', 'prompt', 'type', 'string', 'required', true), named_struct('arg', 'turn', 'type', 'integer', 'required', true)) as params
+union all select 'look_up', array(named_struct('arg', 'query', 'type', 'string', 'required', true))
+"""

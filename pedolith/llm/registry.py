@@ -36,6 +36,49 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("errors", F.array_join("errors", ","))
 
 
+def _json_sql(**fields: str) -> str:
+    """SQL text of a JSON object with sorted keys, null fields left out; values are SQL of JSON."""
+    parts = [f"CASE WHEN {v} IS NOT NULL THEN ',\"{k}\":' || {v} ELSE '' END" for k, v in sorted(fields.items())]
+    return "'{' || substr(" + " || ".join(parts) + ", 2) || '}'"
+
+
+OP2_SQL = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, (7 * conv_id + 13 * turn) % 16 AS k, conv_id || ':' || turn AS id FROM conversations),
+x AS (
+  SELECT conv_id, turn, 0 AS idx, 'message' AS kind, role, NULL AS call_id, NULL AS name, NULL AS arguments, [] AS deps, CASE WHEN role <> 'user' THEN t END AS content, '' AS errors FROM c WHERE role <> 'assistant'
+  UNION ALL
+  SELECT conv_id, turn, i, 'call', role, id, CASE WHEN k = 3 THEN 'answer' ELSE 'reply' END,
+    CASE k WHEN 0 THEN json_object('prompt', t) WHEN 1 THEN json_object('prompt', t, 'turn', turn::VARCHAR) WHEN 2 THEN json_object('loud', true, 'prompt', t, 'turn', turn) WHEN 4 THEN json_array(t) ELSE json_object('prompt', t, 'turn', turn) END::VARCHAR,
+    CASE WHEN k = 6 THEN [conv_id || ':' || (turn + 2)] WHEN k = 9 THEN [id || ':b'] WHEN turn >= 2 AND (7 * conv_id + 13 * (turn - 2)) % 16 <> 6 THEN [conv_id || ':' || (turn - 2)] ELSE [] END, NULL,
+    CASE k WHEN 0 THEN 'turn: missing' WHEN 1 THEN 'turn: not integer' WHEN 2 THEN 'loud: unknown' WHEN 3 THEN 'name: unknown tool' WHEN 4 THEN 'arguments: no object' ELSE '' END
+  FROM c, range(1, 3) r(i) WHERE role = 'user' AND (i = 1 OR k = 5)
+  UNION ALL
+  SELECT conv_id, turn, 2, 'call', role, id || ':b', 'look_up', json_object('query', t)::VARCHAR, [], NULL, '' FROM c WHERE role = 'user' AND k = 9
+  UNION ALL
+  SELECT conv_id, turn, 0, 'result', role, CASE k WHEN 7 THEN id || ':none' WHEN 8 THEN conv_id || ':' || (turn - 3) ELSE conv_id || ':' || (turn - 1) END, NULL, NULL, [], t, '' FROM c WHERE role = 'assistant'
+),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id, kind ORDER BY turn, idx) AS nth, count(CASE WHEN kind = 'call' THEN 1 END) OVER (PARTITION BY conv_id, call_id) AS n_calls, count(CASE WHEN kind = 'result' THEN 1 END) OVER (PARTITION BY conv_id, call_id) AS n_results FROM x),
+s AS (SELECT *, CASE WHEN kind = 'message' THEN 'plain' WHEN nth > 1 THEN 'duplicate' WHEN kind = 'call' AND n_results = 0 THEN 'unanswered' WHEN kind = 'result' AND n_calls = 0 THEN 'orphan' ELSE 'linked' END AS status,
+  {{'turn': turn, 'depth': 0::BIGINT, 'own': turn, 'idx': idx}} AS place FROM n),
+calls AS (SELECT * FROM s WHERE kind = 'call' AND status IN ('linked', 'unanswered')),
+results AS (SELECT * FROM s WHERE kind = 'result' AND status = 'linked'),
+e AS (
+  SELECT r.conv_id, a.place AS u, r.place AS v FROM results r JOIN calls a USING (conv_id, call_id)
+  UNION
+  SELECT b.conv_id, coalesce(r.place, a.place), b.place FROM (SELECT conv_id, place, unnest(deps) AS dep FROM calls) b JOIN calls a ON a.conv_id = b.conv_id AND a.call_id = b.dep LEFT JOIN results r ON r.conv_id = b.conv_id AND r.call_id = b.dep
+),
+walk(conv_id, v, now) AS (
+  SELECT conv_id, u, u FROM e UNION SELECT conv_id, v, v FROM e
+  UNION
+  SELECT w.conv_id, e.v, CASE WHEN e.v > w.now THEN e.v ELSE {{'turn': w.now.turn, 'depth': w.now.depth + 1, 'own': e.v.own, 'idx': e.v.idx}} END FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.u = w.v
+),
+p AS (SELECT conv_id, v, max(now) AS now FROM walk GROUP BY conv_id, v)
+SELECT s.conv_id, turn, idx, kind, role, call_id, name, status, errors, coalesce(p.now.turn, turn) AS order_turn, coalesce(p.now.depth, 0)::INTEGER AS order_depth, false AS on_cycle,
+  {_json_sql(arguments="arguments", call_id="to_json(call_id)::VARCHAR", content="to_json(content)::VARCHAR", kind="to_json(kind)::VARCHAR", name="to_json(name)::VARCHAR", role="to_json(role)::VARCHAR")} AS json
+FROM s LEFT JOIN p ON p.conv_id = s.conv_id AND p.v = s.place AND s.kind <> 'message'
+"""
+
+
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_span_dedup(table(spark, sf_dir, "documents"))
 
@@ -130,4 +173,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL, "op8_quality_rules": OP8_SQL, "op9_minhash_dedup": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op8_quality_rules": OP8_SQL, "op9_minhash_dedup": OP9_SQL}
