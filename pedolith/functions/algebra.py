@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- indices ---------------------------------------------------------------------------------
@@ -129,16 +129,16 @@ def strict_sum(x: Column) -> Column:
 
 #: Upper bounds (exclusive) and labels of the class ladders.
 SALINITY = ((2, "nonsaline"), (4, "very slightly saline"), (8, "slightly saline"), (16, "moderately saline"), (None, "strongly saline"))
-REACTION = ((6.0, "acid"), (6.5, "slightly acid"), (7.3, "neutral"), (7.9, "slightly alkaline"), (8.4, "moderately alkaline"), (9.0000000001, "strongly alkaline"), (None, "very strongly alkaline"))
+REACTION = ((6.0, "acid"), (6.5, "slightly acid"), (7.3, "neutral"), (7.9, "slightly alkaline"), (8.4, "moderately alkaline"), (9.0, "strongly alkaline", True), (None, "very strongly alkaline"))
 
 
 def ladder(v: Column, steps: tuple) -> Column:
-    """The label of the first bound above v; null stays null."""
-    out = None
-    for bound, label in steps:
+    """The label of the first bound above v, or at v where the step says that it is closed; null stays null."""
+    out = F
+    for bound, label, *closed in steps:
         if bound is None:
             return out.when(v.isNotNull(), F.lit(label))
-        out = F.when(v < bound, F.lit(label)) if out is None else out.when(v < bound, F.lit(label))
+        out = out.when(v <= bound if closed and closed[0] else v < bound, F.lit(label))
     return out
 
 
@@ -202,3 +202,8 @@ def standard_names(names: list[str], longest: int = 6) -> list[str]:
             y = f"{x[: longest - len(str(n))]}{n}"
         out.append(y)
     return out
+
+
+def renumbered(df: DataFrame, bands: dict[str, str], offset: float = 0.0) -> DataFrame:
+    """df with bands (new name -> old) renumbered, all at once, and an offset added."""
+    return df.withColumns({new: F.col(old) + offset for new, old in bands.items()})

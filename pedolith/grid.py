@@ -66,6 +66,19 @@ class GridSpec:
             min(self.ymax, other.ymax),
         )
 
+    def union(self, other: GridSpec) -> tuple[float, float, float, float]:
+        """xmin, xmax, ymin, ymax that either covers."""
+        return (
+            min(self.xmin, other.xmin),
+            max(self.xmin + self.ncol * self.res, other.xmin + other.ncol * other.res),
+            min(self.ymax - self.nrow * self.res, other.ymax - other.nrow * other.res),
+            max(self.ymax, other.ymax),
+        )
+
+    def part(self, row: Column, col: Column, down: int, across: int) -> Column:
+        """The part of a `down` x `across` division of the grid that a cell is in, numbered row by row."""
+        return (F.floor(row * down / self.nrow) * across + F.floor(col * across / self.ncol)).cast("long")
+
 
 def tile_side(memory_gb: float, layers: int, bytes_per_pixel: int = 8, safety: float = 0.75, least: int = 512) -> int:
     """Side of the largest square tile whose layers fit a share of the memory."""

@@ -63,8 +63,9 @@ def rmse_mae(df: DataFrame, obs: str, pred: str) -> DataFrame:
     return df.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count(e).alias("n"))
 
 
-def log_loss(df: DataFrame, prob_of_obs: str, floor: float = 1e-15) -> DataFrame:
-    return df.agg(F.avg(-F.ln(F.greatest(F.col(prob_of_obs), F.lit(floor)))).alias("log_loss"))
+def log_loss(df: DataFrame, prob_of_obs: str, floor: float = 1e-15, by: list[str] | None = None) -> DataFrame:
+    """Mean of -ln(probability of the observed class), of all rows or by group, with n."""
+    return df.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg(-F.ln(F.greatest(F.col(prob_of_obs), F.lit(floor)))).alias("log_loss"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -80,3 +81,20 @@ def class_weights(df: DataFrame, label: str, cap: float = 10.0) -> DataFrame:
     """min(cap, median class count / class count)."""
     g = df.groupBy(label).agg(F.count("*").alias("n"))
     return g.join(F.broadcast(g.agg(F.median("n").alias("mid"))), F.lit(True)).select(label, "n", F.least(F.lit(cap), F.col("mid") / F.col("n")).alias("weight"))
+
+
+def multi_class_summary(df: DataFrame, obs: str, pred: str, probabilities: dict[str, str]) -> DataFrame:
+    """One row: accuracy, log_loss, mean_f1, mean_balanced_accuracy and mean_auc (one class against the rest) from
+    the observed and predicted class and a probability column for each class."""
+    of_obs = F.coalesce(*[F.when(F.col(obs) == c, F.col(p)) for c, p in probabilities.items()])
+    out = df.agg(F.avg((F.col(obs) == F.col(pred)).cast("double")).alias("accuracy"))
+    loss = log_loss(df.withColumn("_of_obs", of_obs), "_of_obs").select("log_loss")
+    m = class_metrics(confusion(df, pred, obs))
+    means = m.agg(F.avg(F.coalesce("f1", F.lit(0.0))).alias("mean_f1"), F.avg("balanced_accuracy").alias("mean_balanced_accuracy"))
+    areas = None
+    for c, p in probabilities.items():
+        one = auc(df.select(F.col(p).alias("p"), (F.col(obs) == c).cast("int").alias("y")), "p", "y")
+        areas = one if areas is None else areas.unionByName(one)
+    for part in (loss, means, areas.agg(F.avg("auc").alias("mean_auc"))):
+        out = out.join(F.broadcast(part), F.lit(True))
+    return out

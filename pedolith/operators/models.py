@@ -139,32 +139,35 @@ def shadow_features(df: DataFrame, features: list[str], label: str, runs: int =
 
 
 def moments(df: DataFrame, y: str, x: list[str]) -> tuple[int, np.ndarray]:
-    """n and the cross-products of (1, x..., y) over complete rows: one aggregate for any number of models."""
+    """n and the cross-products of (1, x..., y) about their means over complete rows, for any number of models.
+
+    Means come first, then the products of what is left, so that large means cancel nothing. The first row
+    and column hold n and the means."""
     cols = [*x, y]
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    terms = [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]]
-    terms += [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    r = rows.agg(*terms).first()
+    first = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    mean = [float(first[f"m{i}"] or 0.0) for i in range(len(cols))]
+    at = lambda i: F.col(cols[i]) - F.lit(mean[i])
+    r = rows.agg(*[F.sum(at(i) * at(j)).alias(f"p{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]).first()
     m = np.zeros((len(cols) + 1, len(cols) + 1))
-    m[0, 0] = r["n"]
+    m[0, 0], m[0, 1:], m[1:, 0] = first["n"], mean, mean
     for i in range(len(cols)):
-        m[0, i + 1] = m[i + 1, 0] = r[f"s{i}"] or 0.0
         for j in range(i, len(cols)):
             m[i + 1, j + 1] = m[j + 1, i + 1] = r[f"p{i}_{j}"] or 0.0
-    return int(r["n"]), m
+    return int(first["n"]), m
 
 
 def ols(n: int, m: np.ndarray, use: list[int]) -> dict:
-    """Least squares of the last column on 1 and the columns `use` (from 0) of a moment matrix."""
-    at = [0, *[u + 1 for u in use]]
-    a, b, yy = m[np.ix_(at, at)], m[at, -1], m[-1, -1]
-    inverse = np.linalg.pinv(a)
-    beta = inverse @ b
-    rss = float(max(yy - b @ beta, 0))
-    tss = float(yy - m[0, -1] ** 2 / n)
+    """Least squares of the last column on a constant and the columns `use` (from 0) of moments()."""
+    at = [u + 1 for u in use]
+    a, b, tss, mean = m[np.ix_(at, at)], m[at, -1], float(m[-1, -1]), m[0, at]
+    inverse = np.linalg.pinv(a) if at else np.zeros((0, 0))
+    slope = inverse @ b
+    rss = float(max(tss - b @ slope, 0))
     p = len(use)
     sigma2 = rss / max(n - p - 1, 1)
-    se = np.sqrt(np.maximum(np.diag(inverse) * sigma2, 0))
+    beta = np.concatenate([[m[0, -1] - mean @ slope], slope])
+    se = np.sqrt(np.maximum(np.concatenate([[1 / max(n, 1) + mean @ inverse @ mean], np.diag(inverse)]) * sigma2, 0))
     r2 = 1 - rss / tss if tss > 0 else 0.0
     return {"beta": beta, "se": se, "t": beta / np.where(se > 0, se, np.nan), "rss": rss, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / max(n - p - 1, 1), "aic": n * np.log(max(rss, 1e-300) / n) + 2 * (p + 1), "df": n - p - 1}
 

@@ -302,3 +302,36 @@ def polypedon_sites(cells: DataFrame, reference: DataFrame, zone: str, features:
         one = clhs(scored.where(F.col(zone).eqNullSafe(z)), kept, size, iterations, seed, cost="cost", id_col=id_col)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def plus_plus_seeds(cells: DataFrame, features: list[str], n: int, seed: int = 1, id_col: str = "cell_id") -> DataFrame:
+    """n cells (place, cell) spread by k-means++ seeding: each next one drawn with chance in proportion to its squared
+    distance from the nearest before it.
+
+    A draw is the least of -ln(u) / distance, u from the draw order's hash, over all cells: one aggregate a
+    site, the sites so far as literals. Ties and cells at distance 0 go by id."""
+    rows = cells.select(F.col(id_col).cast("long").alias("id"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]).dropna()
+    chosen: list[tuple] = []
+    for k in range(n):
+        u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:{k}"), "id").cast("binary")), 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
+        d2 = [sum(((F.col(f"f{i}") - x) ** 2 for i, x in enumerate(c[1:])), F.lit(0.0)) for c in chosen]
+        weight = F.least(*d2) if len(d2) > 1 else d2[0] if d2 else F.lit(1.0)
+        best = rows.withColumn("w", weight).where("w > 0").agg(F.min(F.struct((-F.ln(u) / F.col("w")).alias("k"), "id", *[f"f{i}" for i in range(len(features))])).alias("b")).select("b.*").first()
+        if best["id"] is None:
+            break
+        chosen.append(tuple(best)[1:])
+    return cells.sparkSession.createDataFrame([(k, c[0]) for k, c in enumerate(chosen)], f"place int, {id_col} long")
+
+
+def coverage_with_cost(cells: DataFrame, features: list[str], cost: str, n_coverage: int, size: int, iterations: int = 1000, seed: int = 10, id_col: str = "cell_id") -> DataFrame:
+    """Cells with `design`: a spatial coverage sample, and a conditioned Latin hypercube sample under a cost that
+    rises for cells near the coverage sites, whose cells it leaves out."""
+    sites = coverage(cells, n_coverage, 1, seed, id_col).select(id_col)
+    spread = cells.join(F.broadcast(sites), id_col, "left_semi").withColumn("design", F.lit("coverage"))
+    rest = cells.join(F.broadcast(sites), id_col, "left_anti")
+    return spread.unionByName(clhs(rest, features, size, iterations, seed, cost=cost, id_col=id_col).withColumn("design", F.lit("hypercube")))
+
+
+def probability_cost(predicted: DataFrame, probabilities: list[str], most: float = 100.0) -> DataFrame:
+    """predicted with `cost`: the greatest class probability in percent, so that sites go where the map is unsure."""
+    return predicted.withColumn("cost", most * F.greatest(*probabilities) if len(probabilities) > 1 else most * F.col(probabilities[0]))

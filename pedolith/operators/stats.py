@@ -18,10 +18,57 @@ def matrix_long(df: DataFrame, bands: list[str], kind: str = "corr") -> DataFram
     return half.unionByName(half.where("band_i <> band_j").select(F.col("band_j").alias("band_i"), F.col("band_i").alias("band_j"), "value"))
 
 
+#: Bands from which a matrix comes from products of blocks of rows, no longer from an aggregate a pair.
+MANY = 12
+
+
+def cross_products(df: DataFrame, bands: list[str], by: str | None = None) -> DataFrame:
+    """([by,] i, j, n, sx, sy, sxx, syy, sxy) of each pair of bands i <= j, over rows that have both, about the means
+    of all rows: products of whole batches in numpy, a row a pair and task, added up in one shuffle."""
+    mean = df.agg(*[F.avg(b).alias(b) for b in bands]).first()
+    centre = np.array([mean[b] or 0.0 for b in bands], float)
+    p = len(bands)
+    i, j = np.triu_indices(p)
+
+    def run(it):
+        import pandas as pd
+
+        sums: dict = {}
+        for pdf in it:
+            for key, part in pdf.groupby(by, dropna=False) if by else [(0, pdf)]:
+                x = part[bands].to_numpy(float) - centre
+                m = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
+                new = np.stack([a.T @ b for a, b in ((m, m), (x, m), (m, x), (x * x, m), (m, x * x), (x, x))])
+                sums[key] = sums[key] + new if key in sums else new
+        for key, t in sums.items():
+            out = pd.DataFrame({"i": i, "j": j, **{c: t[k][i, j] for k, c in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))}})
+            yield out.assign(**{by: key})[[by, *out.columns]] if by else out
+
+    keys = [*([by] if by else []), "i", "j"]
+    schema = (f"`{by}` {dict(df.dtypes)[by]}, " if by else "") + "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    rows = df.select(*([by] if by else []), *[F.col(b).cast("double").alias(b) for b in bands])
+    return rows.mapInPandas(run, schema).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+
+def products_value(kind: str) -> Column:
+    """corr or covar_samp from the sums of cross_products(); null where it is not defined."""
+    n = F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    if kind == "covar_samp":
+        return F.when(n > 1, cov / (n - 1))
+    vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
+    return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+
+
 def matrix(df: DataFrame, bands: list[str], kind: str = "corr") -> np.ndarray:
     """The p x p matrix on the driver."""
     at = {b: i for i, b in enumerate(bands)}
     m = np.full((len(bands), len(bands)), np.nan)
+    if len(bands) > MANY:
+        for r in cross_products(df, bands).select("i", "j", products_value(kind).alias("value")).collect():
+            m[r.i, r.j] = m[r.j, r.i] = np.nan if r.value is None else r.value
+        return m
     for r in matrix_long(df, bands, kind).collect():
         m[at[r.band_i], at[r.band_j]] = np.nan if r.value is None else r.value
     return m
@@ -167,11 +214,11 @@ def hypercube(df: DataFrame, bands: list[str], edges: dict[str, tuple[float, flo
     return grid.join(counts, ["band", "bin"], "left").select("band", "bin", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def density_ratio(population: DataFrame, sample: DataFrame, floor: float = 1e-6) -> DataFrame:
-    """Hypercubes of both -> densities (zero counts as `floor`) and sample / population."""
-    by = Window.partitionBy("band")
-    dens = lambda h, name: h.select("band", "bin", (F.when(F.col("n") == 0, F.lit(floor)).otherwise(F.col("n").cast("double")) / F.sum("n").over(by)).alias(name))
-    return dens(population, "pop").join(dens(sample, "samp"), ["band", "bin"]).withColumn("ratio", F.col("samp") / F.col("pop"))
+def density_ratio(population: DataFrame, sample: DataFrame, n_population: int, n_sample: int, floor: float = 1e-6) -> DataFrame:
+    """Hypercubes of both -> densities, counts (zero as `floor`) by the number of rows, and sample / population. A
+    value on an inner edge counts in two bins, so densities may add up to more than 1."""
+    dens = lambda h, name, n: h.select("band", "bin", (F.when(F.col("n") == 0, F.lit(floor)).otherwise(F.col("n").cast("double")) / F.lit(float(max(n, 1)))).alias(name))
+    return dens(population, "pop", n_population).join(dens(sample, "samp", n_sample), ["band", "bin"]).withColumn("ratio", F.col("samp") / F.col("pop"))
 
 
 def kl_divergence(population: DataFrame, sample: DataFrame, add: int = 1) -> DataFrame:
@@ -269,10 +316,10 @@ def under_sampled(population: DataFrame, sample: DataFrame, bands: list[str], bi
     without cells left are passed over. Survey 1 is the legacy sample, 2 the new. The walk looks at
     bins, on the driver; each pick is a top-k on the cells, at most `budget` in all."""
     edges = bin_edges(population, bands)
-    r = density_ratio(hypercube(population, bands, edges, bins), hypercube(sample, bands, edges, bins))
+    n = sample.count()
+    r = density_ratio(hypercube(population, bands, edges, bins), hypercube(sample, bands, edges, bins), population.count(), n)
     place = {b: i for i, b in enumerate(bands)}
     walk = sorted((x for x in r.where("ratio < 1").collect()), key=lambda x: (x.ratio, place[x.band], x.bin))
-    n = sample.count()
     taken: list[int] = []
     for x in walk:
         if budget <= 0:
@@ -292,3 +339,65 @@ def under_sampled(population: DataFrame, sample: DataFrame, bands: list[str], bi
     chosen = population.where(F.col(id_col).isin(taken)).select(F.col(id_col).cast("long").alias(id_col), F.lit(2).alias("survey"), *bands) if taken else None
     legacy = sample.select(F.lit(0).cast("long").alias(id_col), F.lit(1).alias("survey"), *bands)
     return legacy.unionByName(chosen) if chosen is not None else legacy
+
+
+def reduce_by_zone(cells: DataFrame, zone: str, bands: list[str], cutoff: float = 0.85, thresh: float = 95.0, variant: str = "A") -> DataFrame:
+    """(zone, band): the bands that the correlation filter and iterative PCA leave in each zone; bands without a
+    correlation in a zone are not among them.
+
+    The correlations of all zones come from one pass; what follows sees a p x p matrix a zone."""
+    m = cross_products(cells, bands, zone).groupBy(zone).agg(F.collect_list(F.struct("i", "j", products_value("corr").alias("r"))).alias("m"))
+
+    def run(it):
+        import pandas as pd
+
+        for pdf in it:
+            rows = []
+            for z, cells_of in zip(pdf[zone], pdf["m"], strict=True):
+                full = np.full((len(bands), len(bands)), np.nan)
+                for x in cells_of:
+                    full[x["i"], x["j"]] = full[x["j"], x["i"]] = np.nan if x["r"] is None else x["r"]
+                live = [b for i, b in enumerate(bands) if not np.isnan(np.delete(full[i], i)).all()]
+                rows += [(z, b) for b in _uncorrelated_principal(full, bands, live, cutoff, thresh, variant)]
+            yield pd.DataFrame(rows, columns=[zone, "band"])
+
+    return m.mapInPandas(run, f"`{zone}` {dict(cells.dtypes)[zone]}, band string")
+
+
+def _uncorrelated_principal(r: np.ndarray, bands: list[str], kept: list[str], cutoff: float, thresh: float, variant: str = "A") -> list[str]:
+    """Of the bands `kept`, those that the correlation filter and iterative PCA leave, from the matrix of all bands."""
+    sub = lambda names: r[np.ix_([bands.index(b) for b in names], [bands.index(b) for b in names])]
+    drop = set(correlation_filter(sub(kept), kept, cutoff)) if len(kept) > 1 else set()
+    kept = [b for b in kept if b not in drop]
+    return iterative_pca(np.nan_to_num(sub(kept)), kept, thresh, variant=variant) if len(kept) > 1 else kept
+
+
+def reduce_in_stages(cells: DataFrame, stages: list[list[str]], cutoff: float = 0.85, thresh: float = 95.0) -> list[str]:
+    """Groups of bands (terrain first, then each season's) reduced by themselves, in turn, then together; all steps
+    from one matrix."""
+    bands = [b for stage in stages for b in stage]
+    flagged = {x.variable for x in near_zero_variance(cells, bands).where("flagged").collect()}
+    r = matrix(cells, bands)
+    kept: list[str] = []
+    for stage in stages:
+        kept += _uncorrelated_principal(r, bands, [b for b in stage if b not in flagged], cutoff, thresh)
+    return _uncorrelated_principal(r, bands, kept, cutoff, thresh)
+
+
+def hexagons(df: DataFrame, x: str, y: str, width: float, height: float) -> DataFrame:
+    """(q, r, n): rows in each hexagon of a grid in axial coordinates, by rounding in cube coordinates."""
+    q = F.col(x).cast("double") / width - F.col(y).cast("double") / height / 2
+    r = F.col(y).cast("double") / height
+    g = df.select(q.alias("q"), r.alias("r")).dropna().withColumns({"q0": F.round("q"), "r0": F.round("r"), "s0": F.round(-F.col("q") - F.col("r"))})
+    dq, dr, ds = F.abs(F.col("q0") - F.col("q")), F.abs(F.col("r0") - F.col("r")), F.abs(F.col("s0") + F.col("q") + F.col("r"))
+    by_q = (dq > dr) & (dq > ds)
+    g = g.select(F.when(by_q, -F.col("r0") - F.col("s0")).otherwise(F.col("q0")).cast("long").alias("q"), F.when(by_q, F.col("r0")).when(dr > ds, -F.col("q0") - F.col("s0")).otherwise(F.col("r0")).cast("long").alias("r"))
+    return g.groupBy("q", "r").agg(F.count("*").alias("n"))
+
+
+def kernel_density(df: DataFrame, value: str, at: list[float], bandwidth: float) -> DataFrame:
+    """(at, density): a normal kernel over all rows at the given places, equal values counted first."""
+    counts = df.select(F.col(value).cast("double").alias("x")).dropna().groupBy("x").agg(F.count("*").alias("c"))
+    k = lambda a: F.exp(-((F.lit(a) - F.col("x")) ** 2) / (2 * bandwidth**2)) / (bandwidth * (2 * np.pi) ** 0.5)
+    one = counts.agg(*[(F.sum(F.col("c") * k(a)) / F.sum("c")).alias(f"d{i}") for i, a in enumerate(at)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("at"), F.col(f"d{i}").alias("density")) for i, a in enumerate(at)])))

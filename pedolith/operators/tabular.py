@@ -131,3 +131,20 @@ def match_levels(keys: list[str], names: list[str]) -> dict[str, str | None]:
         inside = [n for n in names if k in n]
         out[k] = k if k in names else inside[0] if len(inside) == 1 else None
     return out
+
+
+def reversed_levels(df: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(label, place): the levels in the reverse of their order."""
+    return df.select(label_col, F.row_number().over(Window.orderBy(F.desc(id_col))).alias("place"))
+
+
+def depth_weighted(horizon: DataFrame, key: str, value: str, upper: float, lower: float, top: str = "top", bottom: str = "bottom") -> DataFrame:
+    """The mean of a value between two depths, weighted by the thickness that lies between them."""
+    inside = F.greatest(F.lit(0.0), F.least(F.col(bottom), F.lit(lower)) - F.greatest(F.col(top), F.lit(upper)))
+    g = horizon.withColumn("_in", inside).groupBy(key).agg(F.sum(F.col(value) * F.col("_in")).alias("_v"), F.sum(F.when(F.col(value).isNotNull(), F.col("_in"))).alias("_t"))
+    return g.where("_t > 0").select(key, (F.col("_v") / F.col("_t")).alias(value))
+
+
+def with_lab(horizon: DataFrame, lab: DataFrame, key: str, measured: str) -> DataFrame:
+    """Horizons with what the laboratory measured, all of them, and whether it did (`has_lab`)."""
+    return horizon.join(lab, key, "left").withColumn("has_lab", F.col(measured).isNotNull())

@@ -543,7 +543,7 @@ def genhz_crosstab_margins(spark, d):
 
 
 def _ladder_sql(expr, steps):
-    return "CASE " + " ".join(f"WHEN {expr} < {b} THEN '{x}'" for b, x in steps if b is not None) + f" WHEN {expr} IS NOT NULL THEN '{steps[-1][1]}' END"
+    return "CASE " + " ".join(f"WHEN {expr} {'<=' if closed else '<'} {b} THEN '{x}'" for b, x, *closed in steps if b is not None) + f" WHEN {expr} IS NOT NULL THEN '{steps[-1][1]}' END"
 
 
 def _margin_sql(cls):
@@ -560,9 +560,10 @@ def ph_class_table(spark, d):
     return tabular.contingency_margins(T(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), A.reaction_class(5 + F.col("l_discount") * 50).alias("cls")), "flag", "cls")
 
 
-@query("SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9._]', '.', 'g') AS name FROM part WHERE regexp_matches(p_name, '^[A-Za-z]')")
+@query("SELECT p_partkey, CASE WHEN regexp_matches(n, '^([A-Za-z]|[.]([^0-9]|$))') THEN n ELSE 'X' || n END AS name FROM (SELECT p_partkey, regexp_replace(substr('1 .9 .a _b q', p_partkey % 11 + 1, 3) || p_name, '[^A-Za-z0-9._]', '.', 'g') AS n FROM part)")
 def syntactic_names(spark, d):
-    return T(spark, d, "part").where(F.col("p_name").rlike("^[A-Za-z]")).select("p_partkey", A.make_name(F.col("p_name")).alias("name"))
+    start = F.expr("substr('1 .9 .a _b q', cast(p_partkey % 11 as int) + 1, 3)")
+    return T(spark, d, "part").select("p_partkey", A.make_name(F.concat(start, F.col("p_name"))).alias("name"))
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' END AS status FROM orders")
@@ -648,10 +649,12 @@ def hypercube_counts(spark, d):
 _BOTH = f"{_hc_sql()}, s AS ({_hc_sql(_SAMPLE, 's').split('s AS (', 1)[1]}"
 
 
-@query(f"WITH {_BOTH} SELECT h.band, CAST(h.bin AS INTEGER) AS bin, round((CASE WHEN s.n = 0 THEN 1e-6 ELSE s.n END / st) / (CASE WHEN h.n = 0 THEN 1e-6 ELSE h.n END / ht), 5) AS ratio FROM (SELECT *, sum(n) OVER (PARTITION BY band) AS ht FROM h) h JOIN (SELECT *, sum(n) OVER (PARTITION BY band) AS st FROM s) s ON s.band = h.band AND s.bin = h.bin")
+@query(f"WITH {_BOTH} SELECT h.band, CAST(h.bin AS INTEGER) AS bin, round((CASE WHEN s.n = 0 THEN 1e-6 ELSE s.n END / (SELECT count(*) FROM lineitem {_SAMPLE})) / (CASE WHEN h.n = 0 THEN 1e-6 ELSE h.n END / (SELECT count(*) FROM lineitem)), 5) AS ratio FROM h JOIN s ON s.band = h.band AND s.bin = h.bin")
 def hypercube_density_ratio(spark, d):
     pop, samp = _hypercubes(spark, d)
-    return stats.density_ratio(pop, samp).select("band", "bin", F.round("ratio", 5).alias("ratio"))
+    li = T(spark, d, "lineitem")
+    n = li.agg(F.count("*"), F.count_if(F.substring(sampling.draw(3, "l_partkey"), 1, 2) < "20")).first()
+    return stats.density_ratio(pop, samp, n[0], n[1]).select("band", "bin", F.round("ratio", 5).alias("ratio"))
 
 
 @query(f"WITH {_BOTH} SELECT band, round(sum(p * ln(p / q)), 6) AS kl FROM (SELECT h.band, (h.n + 1) / sum(h.n + 1) OVER (PARTITION BY h.band) AS p, (s.n + 1) / sum(s.n + 1) OVER (PARTITION BY h.band) AS q FROM h JOIN s ON s.band = h.band AND s.bin = h.bin) GROUP BY band")
@@ -685,7 +688,7 @@ def mess_index(spark, d):
 @query()
 def covariate_reduction(spark, d):
     """Near-zero variance, correlation filter and iterative PCA of the embedding's bands: what is kept at each step."""
-    bands = [f"b{i}" for i in range(16)]
+    bands = [f"b{i}" for i in range(len(T(spark, d, "embeddings").first()["embedding"]))]
     e = T(spark, d, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(b) for i, b in enumerate(bands)])
     flagged = {r.variable for r in stats.near_zero_variance(e, bands).where("flagged").collect()}
     one = [b for b in bands if b not in flagged]
@@ -696,13 +699,16 @@ def covariate_reduction(spark, d):
     return spark.createDataFrame([(b, b in one, b in two, b in three) for b in bands], "band string, varies boolean, uncorrelated boolean, kept boolean")
 
 
-@query()
+@query(f"WITH {CELLS_SQL}, m AS (SELECT avg(size) AS ms, avg(price) AS mp, stddev_samp(size) AS ss, stddev_samp(price) AS sp, corr(size, price) AS r FROM cells), z AS (SELECT cell_id, r, ((size - ms) / ss + (price - mp) / sp) / sqrt(2) AS plus, ((size - ms) / ss - (price - mp) / sp) / sqrt(2) AS minus FROM cells, m) SELECT cell_id, round(CASE WHEN r >= 0 THEN plus ELSE minus END, 6) + 0.0 AS pc1, round(CASE WHEN r >= 0 THEN minus ELSE plus END, 6) + 0.0 AS pc2 FROM z")
 def pca_scores(spark, d):
     cells = part_cells(spark, d)
-    return stats.pca_scores(cells, ["size", "price"], 2).select("cell_id", r6(F.col("pc1")).alias("pc1"), r6(F.col("pc2")).alias("pc2"))
+    return stats.pca_scores(cells, ["size", "price"], 2).select("cell_id", (r6(F.col("pc1")) + 0.0).alias("pc1"), (r6(F.col("pc2")) + 0.0).alias("pc2"))
 
 
-@query()
+_D2 = "(c * (a1.size - a2.size) * (a1.size - a2.size) - 2 * b * (a1.size - a2.size) * (a1.price - a2.price) + a * (a1.price - a2.price) * (a1.price - a2.price)) / (a * c - b * b)"
+
+
+@query(f"WITH {CELLS_SQL}, m AS (SELECT var_samp(size) AS a, var_samp(price) AS c, covar_samp(size, price) AS b FROM cells), q AS (SELECT a1.cell_id, min({_D2}) AS lo, quantile_cont({_D2}, 0.95) AS hi FROM cells a1, cells a2, m GROUP BY 1) SELECT a1.cell_id, count(CASE WHEN 1 - least(1, ({_D2} - lo) / (hi - lo)) >= 0.95 THEN 1 END) AS n_similar FROM cells a1 JOIN q ON q.cell_id = a1.cell_id, cells a2, m WHERE a2.cell_id % 97 = 1 GROUP BY 1")
 def similar_observations(spark, d):
     cells = part_cells(spark, d)
     return stats.similar_observations(cells, cells.where("cell_id % 97 = 1"), ["size", "price"])
@@ -740,11 +746,11 @@ def feature_space_coverage(spark, d):
     return sampling.feature_space_coverage(part_cells(spark, d), ["size", "price"], 10, tries=1).select("centre", "cell_id")
 
 
-@query()
+@query(f"WITH {CELLS_SQL}, r AS (SELECT max(size) - min(size) AS rs, max(price) - min(price) AS rp FROM cells) SELECT s.cell_id AS site_id, c.cell_id, round((2 - abs(c.size - s.size) / rs - abs(c.price - s.price) / rp) / 2, 6) AS similarity FROM cells c, r, cells s WHERE s.cell_id % 211 = 5 AND (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 9")
 def gower_alternates(spark, d):
     cells = part_cells(spark, d)
     sites = cells.where("cell_id % 211 = 5").select(F.col("cell_id").alias("site_id"), "x", "y", "size", "price")
-    return sampling.gower_buffer(cells, sites, ["size", "price"], 3.0)
+    return sampling.gower_buffer(cells, sites, ["size", "price"], 3.0).withColumn("similarity", r6(F.col("similarity")))
 
 
 # --- models and accuracy ----------------------------------------------------------------------
@@ -777,10 +783,10 @@ def class_metrics(spark, d):
 _EMB = "q AS (SELECT label AS obs, CAST((vec_id * 7 + label) % 10 AS INTEGER) AS pred FROM embeddings), cc AS (SELECT pred, obs, count(*) AS n FROM q GROUP BY 1, 2), g AS (SELECT a.obs AS a, b.obs AS b FROM (SELECT DISTINCT obs FROM q) a, (SELECT DISTINCT obs FROM q) b WHERE a.obs <> b.obs), s AS (SELECT pred, obs, n / sum(n) OVER (PARTITION BY obs) AS p FROM cc)"
 
 
-@query(f"WITH {_EMB}, r AS (SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, coalesce((SELECT p FROM s WHERE obs = g.a AND pred = g.b), 0) AS x, coalesce((SELECT p FROM s WHERE obs = g.b AND pred = g.a), 0) AS y FROM g) SELECT a, b, round(x, 6) AS a_to_b, round(y, 6) AS b_to_a, round((x + y) / 2, 6) AS \"both\" FROM r")
+@query(f"WITH {_EMB}, r AS (SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, coalesce((SELECT p FROM s WHERE obs = g.a AND pred = g.b), 0) AS x, coalesce((SELECT p FROM s WHERE obs = g.b AND pred = g.a), 0) AS y FROM g) SELECT a, b, round(x, 6) AS a_to_b, round(y, 6) AS b_to_a, round((x + y) / 2, 6) AS \"both\" FROM r ORDER BY x + y DESC, a, b LIMIT 25")
 def confused_pairs(spark, d):
     e = T(spark, d, "embeddings").select(F.col("label").alias("obs"), ((F.col("vec_id") * 7 + F.col("label")) % 10).cast("int").alias("pred"))
-    c = assess.confused_pairs(assess.confusion(e, "pred", "obs"), 10_000)
+    c = assess.confused_pairs(assess.confusion(e, "pred", "obs"), 25)
     return c.select("a", "b", *[r6(F.col(x)).alias(x) for x in ("a_to_b", "b_to_a", "both")])
 
 
@@ -792,9 +798,9 @@ def ols_simple_summary(spark, d):
     return one.select(F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), r6(F.col("r2")).alias("r2"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{x}' AS variable, round(n * ln(tss * (1 - r2) / n) + 4, 2) AS aic, round(tss * r2 / (tss * (1 - r2) / (n - 2)), 3) AS f FROM (SELECT count(*) AS n, var_pop(l_extendedprice) * count(*) AS tss, power(corr({x}, l_extendedprice), 2) AS r2 FROM lineitem)" for x in ("l_quantity", "l_discount", "l_tax")))
 def forward_selection(spark, d):
-    return models.add_one(T(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).select("variable", F.round("aic", 2).alias("aic"), F.round("f", 4).alias("f"))
+    return models.add_one(T(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).select("variable", F.round("aic", 2).alias("aic"), F.round("f", 3).alias("f"))
 
 
 def _training(spark, d):
@@ -817,7 +823,7 @@ def rf_importance(spark, d):
 @query("SELECT p.o_orderpriority AS priority, count(*) AS n, round(avg(ll), 6) AS log_loss FROM (SELECT o_orderpriority, -ln(greatest((o_custkey % 9 + 1) / 10.0, 1e-15)) AS ll FROM orders) p GROUP BY 1")
 def log_loss_by_class(spark, d):
     o = T(spark, d, "orders").select(F.col("o_orderpriority").alias("priority"), ((F.col("o_custkey") % 9 + 1) / 10.0).alias("p"))
-    return o.groupBy("priority").agg(F.count("*").alias("n"), r6(F.avg(-F.ln(F.greatest("p", F.lit(1e-15))))).alias("log_loss"))
+    return assess.log_loss(o, "p", by=["priority"]).select("priority", "n", r6(F.col("log_loss")).alias("log_loss"))
 
 
 @query("WITH s AS (SELECT n_chars AS x, quality AS y FROM labels JOIN documents USING (doc_id)), g AS (SELECT x, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM s GROUP BY 1), w AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM w")
@@ -853,7 +859,7 @@ def sample_quality(spark, d):
 @query()
 def optimum_sample_size(spark, d):
     cells = part_cells(spark, d)
-    return sampling.optimum_size(cells, ["size", "price"], [10, 40, 90], runs=1, bins=10, iterations=50).select("size", r6(F.col("mean_kl")).alias("mean_kl"))
+    return sampling.optimum_size(cells, ["size", "price"], [10, 40, 90], runs=2, bins=10, iterations=50).select("size", r6(F.col("mean_kl")).alias("mean_kl"), r6(F.col("sd_kl")).alias("sd_kl"))
 
 
 @query()
@@ -882,13 +888,32 @@ def tuned_forest(spark, d):
     return models.tune(t, [f"b{i}" for i in range(8)], "class", grid, 2, 1)
 
 
-@query()
+def _determinant_sql(names):
+    """SQL of the determinant of the correlations of some columns of a row c of all correlations."""
+    from itertools import permutations
+
+    entry = lambda a, b: "1" if a == b else "c." + "_".join(sorted((a, b)))
+    sign = lambda p: (-1) ** sum(p[i] > p[j] for i in range(len(p)) for j in range(i + 1, len(p)))
+    return "(" + " + ".join(f"{sign(p)} * " + " * ".join(entry(names[i], names[p[i]]) for i in range(len(names))) for p in permutations(range(len(names)))) + ")" if names else "1"
+
+
+_OLS = {"q": "l_quantity", "d": "l_discount", "t": "l_tax", "y": "l_extendedprice"}
+
+
+def _anova_sql():
+    cols = ", ".join(f"corr({_OLS[a]}, {_OLS[b]}) AS {'_'.join(sorted((a, b)))}" for a in _OLS for b in _OLS if a < b)
+    rss = lambda k: f"{_determinant_sql(list('qdt')[:k] + ['y'])} / {_determinant_sql(list('qdt')[:k])}"
+    parts = [f"SELECT '{_OLS[x]}' AS variable, round(({rss(i)} - {rss(i + 1)}) / ({rss(3)} / (n - 4)), 3) AS f, round(sqrt({_determinant_sql([z for z in 'qdt' if z != x])} / {_determinant_sql(list('qdt'))}), 6) AS sqrt_vif FROM c" for i, x in enumerate("qdt")]
+    return f"WITH c AS (SELECT count(*) AS n, {cols} FROM lineitem) " + " UNION ALL ".join(parts)
+
+
+@query(_anova_sql())
 def regression_diagnostics(spark, d):
     li = T(spark, d, "lineitem")
     x = ["l_quantity", "l_discount", "l_tax"]
     v = models.sqrt_vif(li, x)
     vif = spark.createDataFrame([(k, float(f)) for k, f in v.items()], "variable string, sqrt_vif double")
-    return models.sequential_anova(li, "l_extendedprice", x).join(vif, "variable").select("variable", F.round("f", 4).alias("f"), r6(F.col("sqrt_vif")).alias("sqrt_vif"))
+    return models.sequential_anova(li, "l_extendedprice", x).join(vif, "variable").select("variable", F.round("f", 3).alias("f"), r6(F.col("sqrt_vif")).alias("sqrt_vif"))
 
 
 @query(f"WITH {_CONF}, m AS (SELECT *, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY pred) / sum(n) OVER () AS pp, sum(n) OVER (PARTITION BY obs) / sum(n) OVER () AS po FROM c), x AS (SELECT m.*, (SELECT max(po) FROM m z WHERE z.obs = m.pred) AS pred_as_obs, (SELECT max(pp) FROM m z WHERE z.pred = m.obs) AS obs_as_pred FROM m), a AS (SELECT max(t) AS n, sum(n / t) FILTER (pred = obs) AS acc, sum(pp * po) FILTER (pred = obs) AS pe, sum(n / t * (pp + po)) FILTER (pred = obs) AS cc, sum(n / t * power(pred_as_obs + obs_as_pred, 2)) AS dd FROM x) SELECT round((acc - pe) / (1 - pe), 6) AS kappa, round(sqrt(greatest(0, (acc * (1 - acc) / power(1 - pe, 2) + 2 * (1 - acc) * (2 * acc * pe - cc) / power(1 - pe, 3) + power(1 - acc, 2) * (dd - 4 * pe * pe) / power(1 - pe, 4)) / n)), 6) AS se FROM a")

@@ -3,12 +3,9 @@
 import duckdb
 import pytest
 
-from pedolith.plans.catalogue import oracle_sql, queries
+from pedolith.plans.reports import oracle_sql, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Fits of models: a minute together, so they run on the smallest tables.
-SLOW = {"similar_observations", "clhs_sample", "clhs_per_zone", "rf_predict", "rf_importance", "covariate_reduction", "ahels_sample", "kmeans_strata", "spatial_coverage", "feature_space_coverage"}
-
 
 @pytest.fixture(scope="module")
 def con(data):
