@@ -566,7 +566,7 @@ def test_lm_trains_on_every_token_and_averages(spark):
     vocabulary = lm.Vocabulary(*(np.zeros(0, np.uint64), np.zeros(0, np.int64)) * 2, far_classes())
     class_n = np.ones(lm.CLASSES)
     p, tokens = lm.blank(class_n), 0
-    halves = [rows[:50], rows[50:]]
+    halves = [rows[:45], rows[45:]]
     batch = lambda x: pa.RecordBatch.from_arrays([pa.array([i for i, _ in x]), pa.array([t for _, t in x])], names=["id", "text"])
     for turn in range(len(lm.RATES)):
         moved = [next(lm._move(vocabulary, p, class_n, turn, 1)(iter([batch(x)]))).to_pylist() for x in halves]
@@ -574,7 +574,7 @@ def test_lm_trains_on_every_token_and_averages(spark):
         step = sum(np.concatenate([np.frombuffer(r["moved"], np.int64) for r in m]) for m in moved) / (lm.SCALE * sum(n))
         p, tokens = lm._shaped(lm._flat(p) + step, p), tokens + sum(n)
     assert tokens == sum(len(t.split()) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1)
-    df = spark.createDataFrame(halves[0], "id long, text string").coalesce(1).union(spark.createDataFrame(halves[1], "id long, text string").coalesce(1))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "id long, text string")
     got = lm.train(df, vocabulary, class_n, 1)
     assert all(np.abs(got[k] - p[k]).mean() < 2e-3 for k in p)  # rounding differs with the threads
     assert not np.allclose(p["q1"], lm.blank(class_n)["q1"])
