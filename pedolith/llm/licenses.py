@@ -73,6 +73,112 @@ FAMILIES = (
     ("proprietary", "reserved", ["all rights reserved"], []),
 )
 
+#: Sentences of licence texts, grants, disclaimers and file headers, each by hand: (label, keyword, pattern over
+#: words). Public wordings of the licences themselves.
+TEXTS = (
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "merge", "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "arising", "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software"),
+    ("mit", "expat", "(?:the )?expat licen[cs]e"),
+    ("mit-0", "attribution", "mit no attribution"),
+    ("x11", "consortium", "except as contained in this notice the name of (?:the )?x consortium shall not be used in advertising"),
+    ("apache-2", "compliance", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", "apache", "(?:https? )?www apache org licenses license 2 0"),
+    ("apache-2", "basis", "distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2", "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license"),
+    ("apache-2", "contributor", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
+    ("bsd-2-clause", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials"),
+    ("bsd-2-clause", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "endorse", "neither the name of (?:\\w+ ){1,12}nor the names of (?:its|the) contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", "bsd", "bsd style licen[cs]e that can be found in the license file"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-2-clause", "contributors", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    ("bsd-2-clause", "exemplary", "direct indirect incidental special exemplary or consequential damages"),
+    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "permission", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "disclaims", "the author disclaims all warranties with regard to this software"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("libpng", "reference", "the png reference library is supplied as is"),
+    ("boost-1", "boost", "distributed under the boost software license version 1 0"),
+    ("boost-1", "boost", "(?:https? )?www boost org license 1 0 txt"),
+    ("boost-1", "accompanying", "software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", "unlicense", "for more information please refer to (?:https? )?unlicense org"),
+    ("wtfpl", "everyone", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("beerware", "beer", "(?:the )?beer ?ware licen[cs]e"),
+    ("beerware", "beer", "you can buy me a beer in return"),
+    ("gpl-2", "redistribute", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-3", "redistribute", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3"),
+    ("gpl-1", "redistribute", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 1"),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public license along with this"),
+    ("gpl", "gnu", "see the gnu general public license for more details"),
+    ("gpl", "freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl-2.1", "lesser", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1"),
+    ("lgpl-3", "lesser", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3"),
+    ("lgpl-2", "library", "under the terms of the gnu library general public license as published by the free software foundation"),
+    ("lgpl", "lesser", "you should have received a copy of the gnu lesser general public license along with this"),
+    ("agpl-3", "affero", "under the terms of the gnu affero general public license as published by the free software foundation either version 3"),
+    ("agpl-3", "affero", "you should have received a copy of the gnu affero general public license along with this"),
+    ("agpl-3", "remotely", "all users interacting with it remotely through a computer network an opportunity to receive the corresponding source"),
+    ("gfdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "mozilla", "if a copy of the mpl was not distributed with this file you can obtain one at (?:https? )?(?:www )?mozilla org mpl 2 0"),
+    ("mpl-2", "incompatible", "incompatible with secondary licenses"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.1", "rights", "for the specific language governing rights and limitations under the license"),
+    ("epl-1", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1 0"),
+    ("epl-2", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v ?)?2 0"),
+    ("cddl-1", "common", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl-1", "common", "the accompanying program is provided under the terms of this common public license"),
+    ("eupl", "eupl", "licensed under the eupl"),
+    ("artistic-1", "package", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2", "establishes", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("perl", "perl", "under the same terms as perl itself"),
+    ("ruby", "ruby", "(?:under )?the same terms as ruby"),
+    ("php-3", "php", "this source file is subject to version 3 01 of the php license"),
+    ("python-2", "licensee", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("postgresql", "university", "in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "cryptographic", "this product includes cryptographic software written by eric young"),
+    ("curl", "permission", "copyright and permission notice (?:\\w+ ){1,14}permission to use copy modify and distribute"),
+    ("icu", "unicode", "unicode inc license agreement data files and software"),
+    ("ncsa", "illinois", "university of illinois ncsa open source license"),
+    ("llvm-exception", "llvm", "apache 2 0 with llvm exceptions?"),
+    ("classpath-exception", "classpath", "gnu general public license (?:version 2 )?with (?:the )?classpath exception"),
+    ("ms-rl", "reciprocal", "microsoft reciprocal license"),
+    ("ofl", "font", "this font software is licensed under the sil open font license"),
+    ("ofl", "reserved", "reserved font names?"),
+    ("cc-by", "creativecommons", "(?:https? )?(?:www )?creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-sa", "creativecommons", "(?:https? )?(?:www )?creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by-nd", "creativecommons", "(?:https? )?(?:www )?creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-nc", "creativecommons", "(?:https? )?(?:www )?creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nc-sa", "creativecommons", "(?:https? )?(?:www )?creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", "creativecommons", "(?:https? )?(?:www )?creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc0", "creativecommons", "(?:https? )?(?:www )?creativecommons org publicdomain zero 1 0"),
+    ("cc0", "waived", "has waived all copyright and related or neighboring rights"),
+    ("public-domain", "domain", "this (?:work|file|code|software) is in the public domain"),
+    ("public-domain", "claimed", "no copyright is claimed"),
+    ("odbl", "database", "made available under the open database license"),
+    ("odbl", "contents", "any rights in individual contents of the database are licensed under the database contents license"),
+    ("elastic-2", "elastic", "(?:the )?elastic license (?:v ?)?2(?: 0)?"),
+    ("sspl-1", "server", "server side public license(?: v(?:ersion )?1)?"),
+    ("busl-1.1", "business", "business source license(?: 1 1)?"),
+    ("commons-clause", "commons", "commons clause license condition"),
+    ("polyform-nc", "polyform", "polyform noncommercial license"),
+    ("openrail", "rail", "(?:creativeml |bigscience )?open ?rail m(?: license)?"),
+    ("json", "evil", "the software shall be used for good not evil"),
+    ("proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction|distribution) (?:of this file |or distribution )?(?:\\w+ ){0,6}is strictly prohibited"),
+    ("proprietary", "evaluation", "for (?:internal )?evaluation purposes only"),
+)
+
 #: (template over a name or identifier, priority, confidence); the first kinds win an overlap.
 NAME_FORMS = (
     ("(?:re)?licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{}", 5, 1.0),
@@ -88,7 +194,7 @@ ID_FORMS = (
 
 def signature_rules() -> list[tuple[str, str, int, str, float]]:
     """(label, keyword, priority, pattern, confidence), in order; patterns run over " w1 w2 ... wn "."""
-    rules = []
+    rules = [(label, keyword, 7, f" {body}(?= )", 1.0) for label, keyword, body in TEXTS]
     for label, keyword, names, ids in FAMILIES:
         for forms, bodies in ((NAME_FORMS, names), (ID_FORMS, ids)):
             for form, priority, sure in forms:
@@ -96,8 +202,9 @@ def signature_rules() -> list[tuple[str, str, int, str, float]]:
     return rules
 
 
-#: No rule can match, and no base phrase stand, in a lower-case text without one of these or cc ... by.
-GATE = ("licens", "licenc", "gnu", "bsd", "creative", "cc0", "domain", "reserved")
+#: No rule can match, and no base phrase stand, in a lower-case text without one of these or cc ... by; the
+#: keywords of TEXTS, which say licence in none of their words, are here too.
+GATE = ("licens", "licenc", "gnu", "bsd", "creative", "cc0", "domain", "reserved", *sorted({keyword for _, keyword, body in TEXTS if not any(k in body for k in ("licens", "licen[cs]", "gnu", "bsd", "creative", "domain"))}))
 CC_BY = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 
