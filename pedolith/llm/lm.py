@@ -339,6 +339,19 @@ def _score(vocabulary: Vocabulary, params: dict[str, np.ndarray], norms: np.ndar
     return run
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts(n, ...) with the greatest n, at most `most`: whole bins of a hundredth of ln n, from the top,
+    so that no task sends its own `most` rows to be merged."""
+    bins = counts.select(F.floor(F.ln("n") * 100).alias("bin")).groupBy("bin").agg(F.count("*").alias("c")).collect()
+    least, total = None, 0
+    for r in sorted(bins, key=lambda r: -r.bin):
+        total += r.c
+        if total > most:
+            break
+        least = r.bin
+    return counts.where(F.lit(False)) if least is None else counts.where(F.floor(F.ln("n") * 100) >= least)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """One row per distinct (id, text): id, rows, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -346,7 +359,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     training part (a table that grows with the input); then the neural model is trained on every
     token of it, in len(RATES) rounds, where the texts are, and averaged: with more texts, more tasks
     learn. Only a corpus below `least_tokens` is passed over more than once. Then all texts are scored.
-    Counts of the `frequent` most frequent words are sent to the tasks, a bound of 16 bytes each; the
+    Counts of the up to `frequent` most frequent words are sent to the tasks, a bound of 16 bytes each; the
     others' counts are joined on the word's hash, once for each distinct (text, word). The model
     and its norms (3 MB) have a fixed size, the driver receives one sum of models a round.
 
@@ -359,7 +372,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = keep(source.mapInArrow(_count_words, "h long, cls int, n long").groupBy("h", "cls").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("cls") == 0, F.col("n"))), F.lit(0)).alias("ends")).first()
-    top = counts.where("cls > 0").orderBy(F.desc("n"), "h").limit(frequent).toPandas()
+    top = most_frequent(counts.where("cls > 0"), frequent).toPandas().sort_values(["n", "h"], ascending=[False, True])
     th = top["h"].to_numpy(np.int64).view(np.uint64)
     first = top.head(OWN)
     own, shared = th[:OWN], first["cls"].to_numpy(np.int64)
