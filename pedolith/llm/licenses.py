@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from pedolith.llm.common import LOWER, UPPER, let
 
-#: Runs that separate words once A-Z are lower case; the same before lower-casing.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Runs that separate words, A-Z not yet in lower case.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: The base phrases and their labels.
 BASE = (
@@ -202,22 +201,18 @@ def signature_rules() -> list[tuple[str, str, int, str, float]]:
     return rules
 
 
-#: No rule can match, and no base phrase stand, in a lower-case text without one of these or cc ... by; the
-#: keywords of TEXTS, which say licence in none of their words, are here too.
-GATE = ("licens", "licenc", "gnu", "bsd", "creative", "cc0", "domain", "reserved", *sorted({keyword for _, keyword, body in TEXTS if not any(k in body for k in ("licens", "licen[cs]", "gnu", "bsd", "creative", "domain"))}))
-CC_BY = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
+#: No rule can match, and no base phrase stand, in words without one of these: what names and identifiers
+#: hold, and for sentences of TEXTS that hold none of it the whole sentence, or its keyword if it is a pattern.
+COMMON = ("licens", "licenc", "gnu", "bsd", "creative", "cc0", "domain", "reserved", " cc by")
+GATE = (*COMMON, *sorted({keyword if set(body) & set("(?[\\") else f" {body} " for _, keyword, body in TEXTS if not any(k in body for k in (*COMMON, "licen[cs]"))}))
 
 
-def _gated(text: Column) -> Column:
-    """Plain substring searches; the one regex runs on texts with cc only."""
-
-    def any_of(low):
-        hit = F.contains(low, F.lit("cc")) & F.rlike(low, F.lit(CC_BY))
-        for keyword in GATE:
-            hit = F.contains(low, F.lit(keyword)) | hit
-        return hit
-
-    return let(F.lower(text), any_of)
+def _any_of(t: Column) -> Column:
+    """Plain substring searches over words."""
+    hit = F.contains(t, F.lit(GATE[0]))
+    for keyword in GATE[1:]:
+        hit = hit | F.contains(t, F.lit(keyword))
+    return hit
 
 
 def _base(t: Column) -> Column:
@@ -291,24 +286,29 @@ def _resolved(hits: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A text is gated by keywords of all rules, then each rule by its own keyword; only then do
+    A text is gated by keywords of all rules, then the rules of each keyword by that; only then do
     regexes run. Labels are arrays, distinct and sorted; score is the confidence of the best detection that
     was not suppressed, 1 where a base phrase stands, else 0. Null text counts as empty: no words,
     no labels, score 0. Rows stand alone: no shuffle, no state; other columns are ignored.
     """
-    rules = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f" {keyword}").alias("keyword"), F.lit(p).alias("priority"), F.lit(pattern).alias("pattern"), F.lit(sure).alias("sure")) for label, keyword, p, pattern, sure in signature_rules()])
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    by_keyword: dict[str, list[Column]] = {}
+    for label, keyword, priority, pattern, sure in signature_rules():
+        by_keyword.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(pattern).alias("pattern"), F.lit(sure).alias("sure")))
+    groups = F.array(*[F.struct(F.lit(f" {keyword}").alias("keyword"), F.array(*rules).alias("rules")) for keyword, rules in by_keyword.items()])
 
     def found(t):
-        hits = F.flatten(F.transform(F.filter(rules, lambda r: F.contains(t, r["keyword"])), lambda r: _spans(t, r)))
+        live = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(t, g["keyword"])), lambda g: g["rules"]))
+        hits = F.flatten(F.transform(F.filter(live, lambda r: F.rlike(t, r["pattern"])), lambda r: _spans(t, r)))
         return F.struct(_base(t).alias("base"), _resolved(hits).alias("more"))
 
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), SEPARATORS, " ")), F.lit(" "))
-    out = docs.select(
-        F.col(id_col),
-        F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
-        F.when(_gated(text), let(words, found)).alias("_found"),
-    )
+    def judged(t):
+        n_words = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) - 1
+        return F.struct(n_words.cast("long").alias("n_words"), F.when(_any_of(t), found(t)).alias("found"))
+
+    text = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS, " ")
+    words = F.concat(F.rtrim(F.translate(text, UPPER, LOWER)), F.lit(" "))  # " w1 w2 ... wn "
+    out = docs.select(F.col(id_col), let(words, judged).alias("_row"))
+    out = out.select(F.col(id_col), F.col("_row.n_words").alias("n_words"), F.col("_row.found").alias("_found"))
     base, more = F.col("_found.base"), F.col("_found.more")
     none = F.array().cast("array<string>")
     return out.select(
