@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,7 +173,8 @@ TEXTS = (
     ("busl-1.1", "business", "business source license(?: 1 1)?"),
     ("commons-clause", "commons", "commons clause license condition"),
     ("polyform-nc", "polyform", "polyform noncommercial license"),
-    ("openrail", "rail", "(?:creativeml |bigscience )?open ?rail m(?: license)?"),
+    ("openrail", "openrail", "openrail m(?: license)?"),
+    ("openrail", "rail", "open rail m(?: license)?"),
     ("json", "evil", "the software shall be used for good not evil"),
     ("proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction|distribution) (?:of this file |or distribution )?(?:\\w+ ){0,6}is strictly prohibited"),
@@ -204,7 +207,7 @@ def signature_rules() -> list[tuple[str, str, int, str, float]]:
 #: No rule can match, and no base phrase stand, in words without one of these: what names and identifiers
 #: hold, and for sentences of TEXTS that hold none of it the whole sentence, or its keyword if it is a pattern.
 COMMON = ("licens", "licenc", "gnu", "bsd", "creative", "cc0", "domain", "reserved", " cc by")
-GATE = (*COMMON, *sorted({keyword if set(body) & set("(?[\\") else f" {body} " for _, keyword, body in TEXTS if not any(k in body for k in (*COMMON, "licen[cs]"))}))
+GATE = (*COMMON, *sorted({keyword if set(body) & set("(?[\\") else f" {body} " for _, keyword, body in TEXTS if not any(k in re.sub(r"\(\?:[^()]*\)\?", "", body) for k in (*COMMON, "licen[cs]"))}))
 
 
 def _any_of(t: Column) -> Column:

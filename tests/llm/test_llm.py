@@ -455,6 +455,8 @@ def test_license_signatures(spark):
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": ["bsd-2-clause"],
         "This is free and unencumbered software released into the public domain.": ["unlicense"],
         "See https://creativecommons.org/licenses/by-sa/4.0/ for terms": ["cc-by-sa"],
+        "weights under OpenRAIL-M": ["openrail"],
+        "weights under CreativeML Open RAIL-M": ["openrail"],
         "Unauthorized copying of this file is strictly prohibited": ["proprietary"],
         "You may not use this file except in compliance with the License. You may obtain a copy of the License at the office": ["apache-2"],
         "anyone with permission to use the package": [],
