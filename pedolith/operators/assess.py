@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pedolith.operators.tabular import quantile_bucket, running_before
+
 
 def confusion(df: DataFrame, pred: str, obs: str) -> DataFrame:
     """(pred, obs, n) for all pairs of levels seen in either, zeros included."""
@@ -69,11 +71,10 @@ def log_loss(df: DataFrame, prob_of_obs: str, floor: float = 1e-15, by: list[str
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve of a 0/1 label: rows are counted by distinct score first, so ties share and the window
-    runs over scores."""
+    """Area under the curve of a 0/1 label: rows are counted by distinct score first, so ties share; the 0s below
+    each score are added up in buckets of scores."""
     g = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    g = running_before(g, quantile_bucket(g, score), [score], F.col("neg"), "below")
     return g.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 

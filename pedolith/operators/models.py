@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pedolith.operators.assess import accuracy_kappa, class_weights, confusion
-from pedolith.operators.sampling import draw
+from pedolith.operators.sampling import draw_ranked
 
 
 def folds(df: DataFrame, n: int, repeats: int, seed: int, id_col: str) -> DataFrame:
@@ -118,17 +118,17 @@ def shadow_features(df: DataFrame, features: list[str], label: str, runs: int =
     chance. Copies are the same column taken from the row of the same rank in another hash order."""
     from math import comb
 
-    from pyspark.sql import Window
-
     hits = dict.fromkeys(features, 0)
+    base = draw_ranked(df, seed, id_col, "_n").persist()
     for run in range(runs):
-        base = df.withColumn("_n", F.row_number().over(Window.orderBy(draw(seed, id_col), id_col)))
-        mixed = df.select(*[F.col(f).alias(f"shadow_{f}") for f in features], F.row_number().over(Window.orderBy(draw(seed + run + 1, id_col), id_col)).alias("_n"))
-        both = base.join(mixed, "_n").drop("_n")
+        mixed = draw_ranked(df, seed + run + 1, id_col, "_n").select(*[F.col(f).alias(f"shadow_{f}") for f in features], "_n")
+        both = base.join(mixed, "_n").drop("_n").persist()  # a fit reads it several times
         imp = dict(Forest([*features, *[f"shadow_{f}" for f in features]], label, trees=trees, seed=seed + run).fit(both).importances())
         top = max(imp[f"shadow_{f}"] for f in features)
         for f in features:
             hits[f] += imp[f] > top
+        both.unpersist()
+    base.unpersist()
     tail = lambda h: sum(comb(runs, i) for i in range(h, runs + 1)) / 2**runs
     low = lambda h: sum(comb(runs, i) for i in range(h + 1)) / 2**runs
     decide = lambda h: "confirmed" if tail(h) * len(features) < alpha else "rejected" if low(h) * len(features) < alpha else "tentative"

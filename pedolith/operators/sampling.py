@@ -6,12 +6,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pedolith.operators.tabular import running_before
+
 
 def draw(seed: int, *ids: str) -> Column:
     """The order of the draw: an md5 of seed and id, the same in any engine."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]).cast("binary"))
 
 
+def draw_ranked(df: DataFrame, seed: int, id_col: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """df with the place of each row, from 1, in draw order, within the groups `by`. A draw's first hex digits cut
+    any group into up to 4096 even parts, so a hot group is no single task's."""
+    d = df.withColumn("_draw", draw(seed, id_col))
+    out = running_before(d, F.substring("_draw", 1, 3), ["_draw", id_col], F.lit(1).cast("long"), name, by)
+    return out.withColumn(name, F.col(name) + 1).drop("_draw")
+
+
 def regular(cells: DataFrame, stride: int) -> DataFrame:
     """Every stride-th row and column, from the middle of the first block: a filter, no shuffle."""
     half = stride // 2
@@ -43,11 +53,10 @@ def stratified_by_area(df: DataFrame, stratum: str, area: DataFrame, area_col: s
 
 def split(df: DataFrame, stratum: str, shares: tuple[float, float], seed: int, id_col: str, names: tuple[str, str, str] = ("train", "validation", "test")) -> DataFrame:
     """df with `part`: within each stratum the first ceil(share * n) rows in draw order, the next, and the rest."""
-    w = Window.partitionBy(stratum)
-    r = F.row_number().over(w.orderBy(draw(seed, id_col), id_col))
-    n = F.count("*").over(w)
-    a, b = F.ceil(shares[0] * n), F.ceil((shares[0] + shares[1]) * n)
-    return df.withColumns({"_r": r, "_a": a, "_b": b}).withColumn("part", F.when(F.col("_r") <= F.col("_a"), names[0]).when(F.col("_r") <= F.col("_b"), names[1]).otherwise(names[2])).drop("_r", "_a", "_b")
+    n = df.groupBy(F.col(stratum).alias("_stratum")).agg(F.count("*").alias("_n"))
+    ranked = draw_ranked(df, seed, id_col, "_r", [stratum]).join(n, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    a, b = F.ceil(shares[0] * F.col("_n")), F.ceil((shares[0] + shares[1]) * F.col("_n"))
+    return ranked.withColumn("part", F.when(F.col("_r") <= a, names[0]).when(F.col("_r") <= b, names[1]).otherwise(names[2])).drop("_r", "_n", "_stratum")
 
 
 def allocate(need: DataFrame, order: list[str], budget: int) -> DataFrame:

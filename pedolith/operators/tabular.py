@@ -110,6 +110,41 @@ def transitions(df: DataFrame, profile: str, order: list[str], label: str) -> Da
     return t.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("upper")))
 
 
+def running_before(df: DataFrame, bucket: Column, order: list[str], value: Column, name: str, by: list[str] | None = None) -> DataFrame:
+    """df with `name`: the sum of `value` over the rows before in `order`, within the groups `by`, 0 for the first.
+
+    `bucket` must not fall as `order` rises. The window runs inside a bucket; what lies in the buckets
+    before comes from one total a bucket, so no task holds a whole group. Rows equal in all of
+    `order` are taken in any order."""
+    by = list(by or [])
+    b = df.withColumns({"_bucket": bucket, "_value": value})
+    before = lambda *within: Window.partitionBy(*within).rowsBetween(Window.unboundedPreceding, -1)
+    totals = b.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(before(*by).orderBy("_bucket")), F.lit(0))).drop("_sum")
+    totals = totals.withColumnsRenamed({c: f"_t_{i}" for i, c in enumerate([*by, "_bucket"])})
+    inside = b.withColumn("_inside", F.coalesce(F.sum("_value").over(before(*by, "_bucket").orderBy(*order)), F.lit(0)))
+    same = F.lit(True)
+    for i, c in enumerate([*by, "_bucket"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_t_{i}"))
+    return inside.join(totals, same).withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)
+
+
+def quantile_bucket(df: DataFrame, column: str, parts: int = 64) -> Column:
+    """The bucket, 0 to parts - 1, of a number or time between approximate quantiles of the column; null and the
+    lowest in bucket 0. Any bounds give right results, good ones even buckets."""
+    found = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q
+    if not found:
+        return F.lit(0)
+    bounds = F.array(*[F.lit(x) for x in sorted(set(found))])
+    return F.coalesce(F.size(F.filter(bounds, lambda x: x < F.col(column))), F.lit(0))
+
+
+def numbered(df: DataFrame, column: str, name: str = "number") -> DataFrame:
+    """df with the place of each row, from 1, in order of a number or time; buckets between quantiles, so that no
+    task sorts the whole table."""
+    return running_before(df, quantile_bucket(df, column), [column], F.lit(1).cast("long"), name).withColumn(name, F.col(name) + 1)
+
+
 def paged(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """A small report with its page numbers."""
     return df.withColumn("page", F.ceil(F.row_number().over(Window.orderBy(*order)) / size).cast("int"))

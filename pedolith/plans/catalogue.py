@@ -515,10 +515,8 @@ def top_classes(spark, d):
 
 @query("SELECT o_orderkey, lpad(CAST(row_number() OVER (ORDER BY o_orderkey) AS VARCHAR), 6, '0') AS id FROM orders WHERE o_totalprice > 250000")
 def padded_ids(spark, d):
-    from pyspark.sql import Window
-
-    o = T(spark, d, "orders").where("o_totalprice > 250000").select("o_orderkey")
-    return o.withColumn("id", F.lpad(F.row_number().over(Window.orderBy("o_orderkey")).cast("string"), 6, "0"))
+    o = tabular.numbered(T(spark, d, "orders").where("o_totalprice > 250000").select("o_orderkey"), "o_orderkey")
+    return o.select("o_orderkey", F.lpad(F.col("number").cast("string"), 6, "0").alias("id"))
 
 
 @query("SELECT 'customer' AS source, c_custkey AS id, c_acctbal AS v FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal FROM supplier")

@@ -352,3 +352,39 @@ def test_windowed_composite(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.mean_value, r.n) for r in spark.sql("select * from comp").collect()] == [(3.0, 2)]
+
+
+def test_places_over_buckets_equal_one_window(spark):
+    rows = [(i, (i * 7919) % 251 if i % 5 else None, i % 3 if i % 7 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, x int, g int")
+    order = lambda r: (r[1] is not None, r[1] or 0, r[0])
+    bucket = tabular.quantile_bucket(df, "x", 16)
+    got = {r.id: r.before for r in tabular.running_before(df, bucket, ["x", "id"], F.col("id"), "before", ["g"]).collect()}
+    want = {}
+    for g in (None, 0, 1, 2):
+        total = 0
+        for r in sorted((r for r in rows if r[2] == g), key=order):
+            want[r[0]] = total
+            total += r[0]
+    assert got == want
+    numbers = tabular.numbered(df, "x").collect()
+    assert sorted(r.number for r in numbers) == list(range(1, 401))
+    by_place = [r.x for r in sorted(numbers, key=lambda r: r.number)]
+    assert by_place == sorted(by_place, key=lambda x: (x is not None, x or 0))
+    assert tabular.numbered(df.where("id < 0"), "x").count() == 0
+    assert [r.number for r in tabular.numbered(df.where("x is null and id < 1"), "x").collect()] == [1]
+
+
+def test_draw_ranks_and_split_by_null_and_hot_strata(spark):
+    rows = [(i, None if i % 10 == 0 else "hot" if i % 3 else "cold") for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, s string")
+    ranked = sampling.draw_ranked(df, 3, "id", "place", ["s"])
+    assert ranked.columns == ["id", "s", "place"]
+    drawn = {r.id: r.d for r in df.select("id", sampling.draw(3, "id").alias("d")).collect()}
+    for s in (None, "hot", "cold"):
+        mine = sorted((r.place, r.id) for r in ranked.collect() if r.s == s)
+        assert [i for _, i in mine] == sorted((i for _, i in mine), key=lambda i: drawn[i])
+        assert [k for k, _ in mine] == list(range(1, len(mine) + 1))
+    n = {s: sum(r[1] == s for r in rows) for s in (None, "hot", "cold")}
+    for r in sampling.split(df, "s", (0.7, 0.15), 3, "id").groupBy("s", "part").count().where("part = 'train'").collect():
+        assert r["count"] == math.ceil(0.7 * n[r.s])
