@@ -171,7 +171,7 @@ def _fingerprinted(docs: DataFrame) -> DataFrame:
 
 def _apply(source: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     """spans (id, f, start, size) cut from the texts of source; only texts that may have spans are shuffled."""
-    of_doc = keep(spans.groupBy("id", "f").agg(F.collect_list(F.struct("start", "size")).alias("spans")), "cuts")
+    of_doc = keep(spans.groupBy("id", "f").agg(F.collect_set(F.struct("start", "size")).alias("spans")), "cuts")
     marks = of_doc.select("id")
     touched = _fingerprinted(probably_in(source, "id", marks, "id"))
     c = of_doc.select(F.col("id").alias("cid"), F.col("f").alias("cf"), "spans")
