@@ -268,6 +268,15 @@ def test_repeated_passages_go_and_first_ones_stay(spark, op):
             assert covered(out[i].clean_text, passages[i % 5]) < 0.6
 
 
+def test_fingerprints_are_the_same_in_numpy_and_spark(spark):
+    import pyarrow as pa
+
+    texts = [None, "", "a", "é ß", "1234567", "12345678", "x" * 31, "x" * 32, "x" * 33, "\U0001f600 \x85 " * 4001, "abc " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = repeats.fingerprints(*common.text_buffers(pa.array(texts))).tolist()
+    assert [r.f for r in repeats._fingerprinted(df).orderBy("id").collect()] == want
+
+
 def test_sentence_runs_against_brute_force(spark):
     docs, _ = planted(8)
     text_of = {i: t for i, t, _ in docs}
