@@ -92,14 +92,15 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: Least and most bits of the map that probably_in() sends to every executor: 2 to 128 MB.
-MAP_BITS, MOST_BITS = 1 << 24, 1 << 30
+#: Least and most bits of the map that probably_in() sends to every executor: 2 to 32 MB of bits, as a hashed
+#: relation of 64-bit words some six times that.
+MAP_BITS, MOST_BITS = 1 << 24, 1 << 28
 
 
 def probably_in(rows: DataFrame, key: str, keys: DataFrame, keys_col: str, negate: bool = False) -> DataFrame:
     """Rows whose key is perhaps among keys (negate: those whose key certainly is not), told where the rows are read.
 
-    A bit map of 16 bits a key, as counted, is built and broadcast, so that a join that follows
+    A bit map of 16 bits a key, as counted, fewer where that is more than MOST_BITS, is built and broadcast, so that a join that follows
     moves only the rows that may match. Keys for which the largest map would be half full get
     none: all rows may match."""
     bits = MAP_BITS
