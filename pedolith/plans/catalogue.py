@@ -668,13 +668,11 @@ def near_zero_variance(spark, d):
 
 @query(f"WITH {CELLS_SQL}, m AS (SELECT var_samp(size) AS a, var_samp(price) AS c, covar_samp(size, price) AS b FROM cells), p AS (SELECT cell_id AS pt, size AS ps, price AS pp FROM cells WHERE cell_id % 97 = 1) SELECT cell_id, round(min((c * (size - ps) * (size - ps) - 2 * b * (size - ps) * (price - pp) + a * (price - pp) * (price - pp)) / (a * c - b * b)), 4) AS d2 FROM cells, m, p GROUP BY cell_id")
 def mahalanobis_to_points(spark, d):
-    """Squared Mahalanobis distance of each cell to the nearest of a design's sites, which travel as a literal."""
+    """Squared Mahalanobis distance of each cell to the nearest of a design's sites."""
     cells = part_cells(spark, d)
     two = ["size", "price"]
-    w = stats.whitened(cells, two, stats.matrix(cells, two, "covar_samp"))
-    sites = w.where("cell_id % 97 = 1").agg(F.collect_list(F.struct("z1", "z2")).alias("sites"))
-    d2 = F.array_min(F.transform("sites", lambda s: (s["z1"] - F.col("z1")) ** 2 + (s["z2"] - F.col("z2")) ** 2))
-    return w.join(F.broadcast(sites), F.lit(True)).select("cell_id", F.round(d2, 4).alias("d2"))
+    w = stats.whitened(cells, two, stats.matrix(cells, two, "covar_samp")).select("cell_id", "z1", "z2")
+    return stats.distance_to_nearest(w, w.where("cell_id % 97 = 1"), ["z1", "z2"]).select("cell_id", F.round("d2", 4).alias("d2"))
 
 
 @query(f"WITH {CELLS_SQL}, r AS (SELECT size, price FROM cells WHERE cell_id % 20 = 3), x AS (SELECT cell_id, " + ", ".join(f"100.0::DOUBLE * (SELECT count(*) FROM r WHERE r.{b} < cells.{b}) / (SELECT count(*) FROM r) AS f_{b}, (SELECT min({b}) FROM r) AS lo_{b}, (SELECT max({b}) FROM r) AS hi_{b}, {b}" for b in ("size", "price")) + " FROM cells) SELECT cell_id, round(least(" + ", ".join(f"CASE WHEN f_{b} = 0 THEN 100 * ({b} - lo_{b}) / (hi_{b} - lo_{b}) WHEN f_{b} <= 50 THEN 2 * f_{b} WHEN f_{b} < 100 THEN 2 * (100 - f_{b}) ELSE 100 * (hi_{b} - {b}) / (hi_{b} - lo_{b}) END" for b in ("size", "price")) + "), 4) + 0.0 AS mess FROM x")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pedolith.functions import algebra as A
 from pedolith.grid import GridSpec, dilate, require_same, resample_bilinear, resample_nearest, slope_aspect, tile_side, trim
-from pedolith.operators import assess, models, sampling, stats, tabular, zonal
+from pedolith.operators import assess, boxes, models, sampling, stats, tabular, zonal
 from pedolith.sources import tables
 
 
@@ -142,6 +142,48 @@ def test_similar_observations_of_many_cells(spark):
         assert (far > 1e-9).sum() <= got[i] <= (far > -1e-9).sum()
 
 
+@pytest.mark.parametrize(("n", "bands", "most"), [(1, 2, 1), (40, 1, 3), (900, 2, 1), (900, 2, 9), (1500, 3, 2)])
+def test_boxes_give_the_distances_of_brute_force(n, bands, most):
+    rng = np.random.default_rng(n + most)
+    tree = boxes.Boxes(rng.normal(size=(n, bands)).round(1), rng.integers(1, most + 1, n))
+    queries = boxes.Boxes(rng.normal(size=(130, bands)).round(2))
+    close = lambda d, scale: 1 - np.minimum(d / scale, 1) >= 0.4
+    assert sorted(tree.order) == list(range(n)) and queries.leaves > 1
+    for k in range(queries.leaves):
+        z = queries.points[queries.leaf(k)]
+        every = np.repeat(boxes.between(z, tree.points), tree.rows, axis=1)
+        for share in (0, 0.5, 0.95, 1):
+            a = int((tree.total - 1) * share)
+            b = min(a + 1, tree.total - 1)
+            assert (tree.ranked(z, a, b) == np.sort(every, axis=1)[:, [a, b]]).all()
+        scale = rng.random(len(z)) + 0.1
+        assert (tree.rows_where(z, scale, close) == close(every, scale[:, None]).sum(axis=1)).all()
+
+
+def test_distance_to_nearest_measures_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(4000, 2)), rng.normal(size=(3000, 2))
+    near, tree, pairs = boxes.Boxes(x), boxes.Boxes(y), []
+    whole = boxes.between
+    monkeypatch.setattr(boxes, "between", lambda a, b: pairs.append(len(a) * len(b)) or whole(a, b))
+    for k in range(near.leaves):
+        tree.ranked(near.points[near.leaf(k)], 0, 0)
+    assert sum(pairs) < len(x) * len(y) / 3
+    cells = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x[:300])] + [(300, None, 1.0)], "cell_id long, a double, b double")
+    sites = spark.createDataFrame([(float(a), float(b)) for a, b in y] + [(None, 0.0)], "a double, b double")
+    got = {r.cell_id: r.d2 for r in stats.distance_to_nearest(cells, sites, ["a", "b"]).collect()}
+    assert got.pop(300) is None and len(got) == 300
+    assert all(got[i] == whole(x[i : i + 1], y).min() for i in range(300))
+    assert {r.d2 for r in stats.distance_to_nearest(cells, sites.where("a > 99"), ["a", "b"]).collect()} == {None}
+
+
+def test_mahalanobis_to_points_is_no_product_of_rows(spark, data):
+    from pedolith.plans import catalogue
+
+    plan = catalogue.queries()["mahalanobis_to_points"](spark, f"{data}/sf0.001")._jdf.queryExecution().toString()
+    assert "Join" not in plan and "transform(" not in plan
+
+
 def test_mess_of_a_large_reference(spark):
     ref = spark.range(150_000).select((F.col("id") % 75_000).cast("double").alias("v"))
     cells = spark.createDataFrame([(1, -7.5), (2, 15_000.0)], "cell_id long, v double")
