@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pedolith.operators.boxes import Boxes, distinct_points
 from pedolith.operators.tabular import running_before
 
 
@@ -229,22 +232,31 @@ def hull_area(points: np.ndarray) -> float:
 
 def sample_metrics(sample: DataFrame, population: DataFrame, features: list[str]) -> dict[str, float]:
     """Hull area in the first two features, mean nearest-neighbour distance, distance of the mean vectors and mean
-    ratio of the standard deviations. The sample is a design's, at most 20000 rows, checked."""
-    s = sample.select(*features).dropna().limit(20_001).toPandas().to_numpy(float)
-    if len(s) > 20_000:
-        raise ValueError("sample_metrics takes at most 20000 rows")
+    ratio of the standard deviations.
+
+    A sample of any size: its distinct places (8 bytes a feature) are on the driver and travel with the plan in a tree,
+    and tasks search the neighbours of its leaves. A row with an equal has its neighbour at distance 0."""
+    tree = Boxes(*distinct_points(sample, features))
+    s, n, total = tree.points, tree.rows, tree.total
+    if not total:
+        return dict.fromkeys(("hull_area", "mean_nn", "bias", "sd_ratio"), float("nan"))
     p = population.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_samp(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
     mean, sd = (np.array([p[f"{k}{i}"] for i in range(len(features))], float) for k in "ms")
-    near = []
-    for lo in range(0, len(s), 256):
-        d = ((s[lo : lo + 256, None, :] - s[None]) ** 2).sum(axis=2)
-        d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
-        near.append(np.sqrt(d.min(axis=1)))
+    own = (s * n[:, None]).sum(axis=0) / total
+    spread = np.sqrt((n[:, None] * (s - own) ** 2).sum(axis=0) / (total - 1)) if total > 1 else np.full(len(features), np.nan)
+
+    def near(it):
+        for pdf in it:
+            yield pdf.assign(d=[float((np.sqrt(tree.ranked(s[at], 1, 1)[:, 0]) * n[at]).sum()) for at in map(tree.leaf, pdf["id"])])
+
+    spark = sample.sparkSession
+    leaves = spark.range(0, tree.leaves, 1, min(tree.leaves, 4 * spark.sparkContext.defaultParallelism))
+    sums = [r.d for r in leaves.mapInPandas(near, "id long, d double").collect()] if total > 1 else [np.inf]
     return {
         "hull_area": round(hull_area(s[:, :2]), 2),
-        "mean_nn": round(float(np.concatenate(near).mean()), 2),
-        "bias": round(float(np.sqrt(((s.mean(axis=0) - mean) ** 2).sum())), 4),
-        "sd_ratio": round(float((s.std(axis=0, ddof=1) / sd).mean()), 3),
+        "mean_nn": round(math.fsum(sums) / total, 2),
+        "bias": round(float(np.sqrt(((own - mean) ** 2).sum())), 4),
+        "sd_ratio": round(float((spread / sd).mean()), 3),
     }
 
 

@@ -319,6 +319,28 @@ def test_clhs_by_zone_takes_strata_from_the_whole_zone(spark):
     assert sorted(got[2]) == [0, 1, 2, 3]
 
 
+def test_sample_metrics_of_a_large_sample(spark):
+    x = np.random.default_rng(7).normal(size=(24_000, 2)).round(2)
+    sample = spark.createDataFrame(x.tolist(), "a double, b double")
+    got = sampling.sample_metrics(sample, sample.where("a < 1"), ["a", "b"])
+    at, n = np.unique(x, axis=0, return_counts=True)
+    near = np.sqrt(np.concatenate([np.partition(((at[i : i + 500, None] - at[None]) ** 2).sum(axis=2), 1)[:, 1] for i in range(0, len(at), 500)]))
+    inside = x[x[:, 0] < 1]
+    assert got["mean_nn"] == pytest.approx(near[n == 1].sum() / len(x), abs=0.0051)
+    assert got["bias"] == pytest.approx(np.sqrt(((x.mean(axis=0) - inside.mean(axis=0)) ** 2).sum()), abs=6e-5)
+    assert got["sd_ratio"] == pytest.approx((x.std(axis=0, ddof=1) / inside.std(axis=0, ddof=1)).mean(), abs=6e-4)
+    assert got["hull_area"] == round(sampling.hull_area(x), 2)
+
+
+def test_sample_metrics_of_few_rows(spark):
+    cells = spark.createDataFrame([(0.0, 0.0), (0.0, 0.0), (4.0, 0.0), (0.0, 3.0), (None, 1.0)], "a double, b double")
+    got = sampling.sample_metrics(cells, cells.dropna(), ["a", "b"])
+    assert got == {"hull_area": 6.0, "mean_nn": 1.75, "bias": 0.0, "sd_ratio": 1.0}
+    one = sampling.sample_metrics(cells.where("a = 4"), cells, ["a", "b"])
+    assert one["hull_area"] == 0 and one["mean_nn"] == math.inf and math.isnan(one["sd_ratio"])
+    assert all(math.isnan(v) for v in sampling.sample_metrics(cells.where("a > 9"), cells, ["a", "b"]).values())
+
+
 @given(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), min_size=1, max_size=30))
 def test_hull_area_is_within_the_box(points):
     p = np.array(points, float)
