@@ -274,37 +274,41 @@ def distance_to_nearest(cells: DataFrame, sites: DataFrame, bands: list[str], na
 def similar_observations(cells: DataFrame, points: DataFrame, bands: list[str], prob: float = 0.95, id_col: str = "cell_id") -> DataFrame:
     """Per cell the number of points similar to it.
 
-    Distances are squared Mahalanobis under the cells' covariance. A cell's least distance and its
-    prob-quantile over the cells scale the distance to each point; similarity is 1 minus that, 0 at
-    least, and counts from prob on. The quantile is over all cells, so time grows with their square, and
-    their whitened bands (8 bytes each) travel with the plan. Points and cells meet the cells in numpy
-    blocks, never as pairs of rows; the points are bounded and checked.
+    Distances are squared Mahalanobis under the cells' covariance. A cell's least distance, 0 to itself, and its
+    prob-quantile over all cells scale the distance to each point; similarity is 1 minus that, 0 at least, and
+    counts from prob on.
+
+    Each distinct place in the whitened bands is worked out once, then joined to its cells. The distinct places of cells
+    and points (8 bytes a band, 8 for their rows) are on the driver and travel with the plan in trees of boxes;
+    a leaf's places take the quantile's two ranks from the nodes that can hold them, so that only those are measured.
     """
     cells, points = cells.dropna(how="any", subset=bands), points.dropna(how="any", subset=bands)
     cov = matrix(cells, bands, "covar_samp")
     zs = [f"z{i + 1}" for i in range(len(bands))]
-    ref = whitened(cells, bands, cov).select(*zs).toPandas().to_numpy(float)
-    pts = whitened(points, bands, cov).select(*zs).limit(100_001).toPandas().to_numpy(float)
-    if len(pts) > 100_000:
-        raise ValueError("similar_observations takes at most 100000 points")
+    placed = whitened(cells, bands, cov).select(F.col(id_col).cast("long").alias(id_col), *zs)
+    ref, pts = Boxes(*distinct_points(placed, zs)), Boxes(*distinct_points(whitened(points, bands, cov), zs))
+    rank = (ref.total - 1) * prob
+    first, last = int(rank), min(int(rank) + 1, ref.total - 1)
+    similar = lambda d, high: 1 - np.minimum(d / high, 1) >= prob
 
     def run(it):
-        for pdf in it:
-            z = pdf[zs].to_numpy(float)
-            out = np.zeros(len(z), np.int64)
-            some = max(1, (1 << 21) // max(1, len(ref)))
-            for lo in range(0, len(z), some):
-                block = z[lo : lo + some]
-                d = lambda y: sum((block[:, None, j] - y[None, :, j]) ** 2 for j in range(y.shape[1]))  # noqa: B023, E731
-                own = d(ref)
-                least, high = own.min(axis=1), np.quantile(own, prob, axis=1)
-                for p in range(0, len(pts), 2048):
-                    far = (d(pts[p : p + 2048]) - least[:, None]) / np.where(high > least, high - least, np.nan)[:, None]
-                    out[lo : lo + some] += ((1 - np.minimum(far, 1)) >= prob).sum(axis=1)
-            yield pdf[[id_col]].assign(n_similar=out)
+        import pandas as pd
 
-    tasks = 4 * cells.sparkSession.sparkContext.defaultParallelism
-    return whitened(cells, bands, cov).select(F.col(id_col).cast("long").alias(id_col), *zs).repartition(tasks, id_col).mapInPandas(run, f"{id_col} long, n_similar long")
+        for pdf in it:
+            for k in pdf["id"]:
+                z = ref.points[ref.leaf(k)]
+                low, up = ref.ranked(z, first, last).T
+                t = rank - first
+                high = low + (up - low) * t if t < 0.5 else up - (up - low) * (1 - t)
+                live = high > 0  # else all but a few cells are in one place, and no scale is given
+                n = np.zeros(len(z), np.int64)
+                n[live] = pts.rows_where(z[live], high[live], similar)
+                yield pd.DataFrame({**{c: z[:, j] for j, c in enumerate(zs)}, "n_similar": n})
+
+    spark = cells.sparkSession
+    leaves = spark.range(0, ref.leaves, 1, max(1, min(ref.leaves, 8 * spark.sparkContext.defaultParallelism)))
+    found = leaves.mapInPandas(run, ", ".join(f"{c} double" for c in zs) + ", n_similar long")
+    return placed.join(found, zs).select(id_col, "n_similar")
 
 
 def mess(cells: DataFrame, reference: DataFrame, bands: list[str]) -> DataFrame:

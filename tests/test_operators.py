@@ -142,6 +142,18 @@ def test_similar_observations_of_many_cells(spark):
         assert (far > 1e-9).sum() <= got[i] <= (far > -1e-9).sum()
 
 
+def test_similar_observations_of_many_points_and_equal_cells(spark):
+    cells = spark.range(120_000).select(F.col("id").alias("cell_id"), (F.col("id") % 60).cast("double").alias("a"), (F.pmod(F.xxhash64("id"), F.lit(9))).cast("double").alias("b"))
+    got = stats.similar_observations(cells, cells, ["a", "b"], 0.9).join(cells, "cell_id").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("n_similar").alias("lo"), F.max("n_similar").alias("hi")).collect()
+    x, n = np.array([(r.a, r.b) for r in got]), np.array([r.n for r in got])
+    assert n.sum() == 120_000
+    inv = np.linalg.inv(np.cov(np.repeat(x, n, axis=0), rowvar=False))
+    for i in range(0, len(got), 7):
+        own = np.einsum("ij,jk,ik->i", x - x[i], inv, x - x[i])
+        far = 1 - np.minimum(1, own / np.quantile(np.repeat(own, n), 0.9)) - 0.9
+        assert n[far > 1e-9].sum() <= got[i].lo == got[i].hi <= n[far > -1e-9].sum()
+
+
 @pytest.mark.parametrize(("n", "bands", "most"), [(1, 2, 1), (40, 1, 3), (900, 2, 1), (900, 2, 9), (1500, 3, 2)])
 def test_boxes_give_the_distances_of_brute_force(n, bands, most):
     rng = np.random.default_rng(n + most)
