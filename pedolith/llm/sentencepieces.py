@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from pedolith.llm.common import chunks, mix, span_hashes, text_buffers
+from pedolith.llm.common import chunks, mix, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE = 1 << 19
@@ -21,12 +22,20 @@ MARK = 0x2581
 REMEMBERED, REMEMBERED_TOKENS = 1 << 19, 1 << 23
 #: Code points from which a word is encoded by itself, in windows and with a heap.
 LONG = 256
+#: Most bytes of a word that is hashed with the others, by blocks of eight.
+LONG_BYTES = 64
+#: Cells (words times their longest) that advance together.
+CELLS = 1 << 15
 WINDOW = 1 << 15
 #: Tokens decoded at a time.
 DECODED = 1 << 18
 UNKNOWN_PENALTY = 10.0
 _STEP = np.uint64(0x100000001B3)
 _MASK = (1 << 22) - 1
+_SPACE = 0x20
+_MARK_UTF8 = chr(MARK).encode()
+#: By bytes of a word in its last block of eight: what to keep of the block.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 @dataclass
@@ -41,8 +50,8 @@ class Model:
     unk_score: float
     byte_ids: np.ndarray | None
     decoded: list[bytes]
-    splits: bool
     pieces: dict[str, tuple[float, int]]
+    digest: str
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
@@ -52,7 +61,6 @@ class Model:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         keys, ids, scores, decoded, longest, pieces = [], [], [], [], 1, {}
         bytes_ = np.full(256, -1, np.int32)
-        splits = True
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -70,12 +78,12 @@ class Model:
                 pieces[piece] = sp.get_score(i), i
                 longest = max(longest, len(points))
                 decoded.append(piece.replace(chr(MARK), " ").encode())
-                splits &= not bool(((points[1:] == MARK) & (points[:-1] != MARK)).any())
         keys = np.array(keys, np.uint64)
         order = np.argsort(keys)
         assert len(np.unique(keys)) == len(keys)
         scores = np.array(scores, np.float64)
-        return cls(keys[order], np.array(ids, np.int32)[order], scores[order], longest, sp.unk_id(), float(scores.min()) - UNKNOWN_PENALTY, bytes_ if (bytes_ >= 0).all() else None, decoded, splits, pieces)
+        digest = hashlib.sha256(repr((decoded, sorted(pieces.items()), bytes_.tolist(), sp.unk_id())).encode()).hexdigest()
+        return cls(keys[order], np.array(ids, np.int32)[order], scores[order], longest, sp.unk_id(), float(scores.min()) - UNKNOWN_PENALTY, bytes_ if (bytes_ >= 0).all() else None, decoded, pieces, digest)
 
 
 def _hash(points: np.ndarray) -> int:
@@ -85,20 +93,77 @@ def _hash(points: np.ndarray) -> int:
     return int(mix(h ^ np.uint64(len(points) << 56))[0])
 
 
+def _word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes, none of them 0, of byte spans of `buf`, which goes on for eight bytes past the last: by blocks of
+    eight bytes, spans of more than LONG_BYTES by themselves."""
+    size = end - start
+    blocks = np.lib.stride_tricks.as_strided(buf[:8].view(np.uint64), (max(1, len(buf) - 7),), (1,))
+    h = mix(size.astype(np.uint64))
+    h = mix(h ^ (blocks[start] & _KEEP[np.minimum(size, 8)])) if len(size) else h
+    more = np.flatnonzero(size > 8)
+    for k in range(8, LONG_BYTES, 8):
+        more = more[size[more] > k]
+        if not len(more):
+            break
+        h[more] = mix(h[more] * _STEP ^ (blocks[start[more] + k] & _KEEP[np.minimum(size[more] - k, 8)]))
+    for i in np.flatnonzero(size > LONG_BYTES):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8).digest(), "little")
+    h[h == 0] = 1
+    return h
+
+
 class Encoder:
     """method "viterbi": the path of the highest sum of scores. method "merges": the merge order of BPE
-    model files, which the file's own library follows."""
+    model files, which the file's own library follows. Several methods share the words and their pieces."""
 
-    def __init__(self, model: Model, method: str = "viterbi"):
-        self.m, self.method = model, method
+    def __init__(self, model: Model, *methods: str):
+        self.m, self.methods = model, methods or ("viterbi",)
         self.present = np.zeros(_MASK + 1, bool)
         self.present[(model.keys & np.uint64(_MASK)).astype(np.int64)] = True
+        # pairs of bytes that no piece holds: pieces end between them, if a character does
+        self.apart = np.ones((256, 256), bool)
+        for piece in model.pieces:
+            b = np.frombuffer(piece.replace(chr(MARK), " ").encode(), np.uint8)
+            self.apart[b[:-1], b[1:]] = False
+        self.apart[:, 0x80:0xC0] = False
+        self.apart = self.apart.ravel()
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.tokens = np.zeros(0, np.int32)
+        """Word 0 is none: its hash is 0, and empty slots lead to it."""
+        self.known = np.zeros(1, np.uint64)
+        self.slots = np.zeros(1 << 12, np.int32)
+        self.begin, self.count = ([np.zeros(1, np.int64) for _ in self.methods] for _ in range(2))
+        self.tokens = [np.zeros(0, np.int32) for _ in self.methods]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the words of these hashes, 0 for those not remembered: open addressing, all at once."""
+        mask = np.uint64(len(self.slots) - 1)
+        at = (h & mask).astype(np.int64)
+        found = self.slots[at]
+        todo = np.flatnonzero(self.known[found] != h)
+        todo = todo[found[todo] > 0]
+        while len(todo):
+            at[todo] = (at[todo] + 1) & int(mask)
+            found[todo] = self.slots[at[todo]]
+            todo = todo[(found[todo] > 0) & (self.known[found[todo]] != h[todo])]
+        return found
+
+    def remember(self, h: np.ndarray) -> None:
+        """Number words of new, distinct hashes; the slots are at least twice the words."""
+        first = len(self.known)
+        self.known = np.concatenate([self.known, h])
+        if 2 * len(self.known) > len(self.slots):
+            self.slots = np.zeros(1 << (4 * len(self.known)).bit_length(), np.int32)
+            first = 1
+        number = np.arange(first, len(self.known), dtype=np.int32)
+        mask = len(self.slots) - 1
+        at = (self.known[number] & np.uint64(mask)).astype(np.int64)
+        while len(number):
+            free = np.flatnonzero(self.slots[at] == 0)
+            self.slots[at[free]] = number[free]
+            left = self.slots[at] != number
+            number, at = number[left], (at[left] + 1) & mask
 
     def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: no piece) and scores of substring hashes: a bit table first, then the sorted keys."""
@@ -113,7 +178,8 @@ class Encoder:
         return ids, scores
 
     def lattice(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of all pieces in words of equal length (rows of code points): by piece length, row, end."""
+        """Scores and ids of all pieces in words (rows of code points; what follows a shorter one has ends of its own): by
+        piece length, row, end."""
         m = self.m
         n, size = words.shape
         top = min(m.longest, size)
@@ -129,14 +195,13 @@ class Encoder:
             score[length - 1, :, length:], ident[length - 1, :, length:] = s, ids
         return score, ident
 
-    def merged(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def merged(self, words: np.ndarray, sizes: np.ndarray | None = None, lattice: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """As viterbi(), by merging in all rows at once the adjacent pair of the best score, the first of
         equal ones, until no pair makes a piece."""
-        score, ident = self.lattice(words)
+        score, ident = lattice or self.lattice(words)
         top, n, size = score.shape[0], *words.shape
-        edge = np.tile(np.arange(size + 2), (n, 1))
-        edge[:, size + 1] = size
-        count = np.full(n, size)
+        count = np.full(n, size) if sizes is None else sizes.copy()
+        edge = np.minimum(np.arange(size + 2), count[:, None])
         live = np.arange(n)
         while len(live):
             width = int(count[live].max())
@@ -157,12 +222,12 @@ class Encoder:
         start, end = edge[row, k], edge[row, k + 1]
         return self._spelt(words, row, ident[end - start - 1, row, end], end)
 
-    def viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words of equal length as rows of code points -> flat tokens, tokens of each row.
+    def viterbi(self, words: np.ndarray, sizes: np.ndarray | None = None, lattice: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Words as rows of code points (`sizes` of each; else all) -> flat tokens, tokens of each row.
 
         All rows advance together: at each end the best of all piece lengths is taken at once, the
         longest of equal ones, and its length and id kept as backpointer."""
-        score, ident = self.lattice(words)
+        score, ident = lattice or self.lattice(words)
         top, n, size = score.shape[0], *words.shape
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
@@ -174,7 +239,7 @@ class Encoder:
             best[:, end] = cand[pick, np.arange(n)]
             back[:, end] = k - pick
         rows, ids, ends = [], [], []
-        live, at = np.arange(n), np.full(n, size)
+        live, at = np.arange(n), np.full(n, size) if sizes is None else sizes
         while len(live):
             step = back[live, at]
             rows.append(live)
@@ -254,68 +319,108 @@ class Encoder:
             tok = out
         return tok.astype(np.int32), np.bincount(row, minlength=n)
 
-    def learn(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+    def learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
         """Encode the words at start..end and remember them by hash."""
         size = end - start
+        total = np.cumsum(size)
+        text = buf[np.repeat(start - (total - size), size) + np.arange(total[-1])]
+        points = np.frombuffer(text.tobytes().decode().replace(" ", chr(MARK)).encode("utf-32-le"), np.uint32)
+        chars = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
+        begin = chars[total - size]
+        size = chars[total] - begin
         order = np.argsort(size, kind="stable")
-        counts, tokens, done = np.zeros(len(h), np.int64), [], []
+        by_size = size[order]
+        counts = [np.zeros(len(h), np.int64) for _ in self.methods]
+        tokens: list[list[np.ndarray]] = [[] for _ in self.methods]
+        short = int(np.searchsorted(by_size, LONG, "right"))
         i = 0
-        while i < len(order):
-            length = int(size[order[i]])
-            j = int(np.searchsorted(size[order], length, "right"))
-            j = min(j, i + max(1, (1 << 15) // length))
-            if length > LONG:
-                j = i + 1
-                word = points[start[order[i]] : end[order[i]]].astype(np.uint64)
-                tok = self.long_viterbi(word) if self.method == "viterbi" else self.long_merges(word)
-                counts[order[i]] = len(tok)
-                tokens.append(tok)
-                done.append(order[i:j])
-                i = j
-                continue
-            rows = order[i:j]
-            encode = self.viterbi if self.method == "viterbi" else self.merged
-            tok, n = encode(points[start[rows][:, None] + np.arange(length)].astype(np.uint64))
-            counts[rows] = n
-            tokens.append(tok)
-            done.append(rows)
+        while i < short:
+            # as many words as fit, each with the cells of the batch's longest
+            cells = by_size[i : min(short, i + CELLS)] * np.arange(1, min(short - i, CELLS) + 1)
+            j = i + max(1, int(np.searchsorted(cells, CELLS, "right")))
+            rows, sizes = order[i:j], by_size[i:j]
+            at = begin[rows][:, None] + np.arange(int(sizes[-1]))
+            block = points[np.minimum(at, len(points) - 1)].astype(np.uint64)
+            lattice = self.lattice(block)
+            for k, method in enumerate(self.methods):
+                tok, counts[k][rows] = (self.viterbi if method == "viterbi" else self.merged)(block, sizes, lattice)
+                tokens[k].append(tok)
             i = j
-        done = np.concatenate(done)
-        begin = np.zeros(len(h), np.int64)
-        begin[done] = len(self.tokens) + np.cumsum(counts[done]) - counts[done]
-        self.tokens = np.concatenate([self.tokens, *tokens])
-        known, begin, count = np.concatenate([self.known, h]), np.concatenate([self.begin, begin]), np.concatenate([self.count, counts])
-        order = np.argsort(known, kind="stable")
-        self.known, self.begin, self.count = known[order], begin[order], count[order]
+        for row in order[short:].tolist():
+            word = points[begin[row] : begin[row] + size[row]].astype(np.uint64)
+            for k, method in enumerate(self.methods):
+                tok = (self.long_viterbi if method == "viterbi" else self.long_merges)(word)
+                counts[k][row] = len(tok)
+                tokens[k].append(tok)
+        for k, count in enumerate(counts):
+            first = np.zeros(len(h), np.int64)
+            first[order] = len(self.tokens[k]) + np.cumsum(count[order]) - count[order]
+            self.tokens[k] = np.concatenate([self.tokens[k], *tokens[k]])
+            self.begin[k], self.count[k] = np.concatenate([self.begin[k], first]), np.concatenate([self.count[k], count])
+        self.remember(h)
+
+    def encode_rows(self, offsets: np.ndarray, data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each method the flat tokens of all rows of UTF-8 and where each row's begin (one more than rows).
+
+        Words are spans of bytes, a space for each U+2581 as before each text, between which no piece lies: they begin
+        where a pair of bytes is in no piece. What is no UTF-8 becomes U+FFFD first."""
+        base, stop = int(offsets[0]), int(offsets[-1])
+        raw = data[base:stop]
+        offsets = offsets - base
+        text = raw.tobytes()
+        filled = np.diff(offsets) > 0
+        if _MARK_UTF8 in text or not _is_text(text) or ((raw[offsets[:-1][filled]] & 0xC0) == 0x80).any():
+            rows = [text[a:b].decode("utf-8", "replace").replace(chr(MARK), " ").encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            raw = np.frombuffer(b"".join(rows), np.uint8)
+            offsets = np.cumsum([0, *map(len, rows)])
+        if not filled.any():
+            return [(np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)) for _ in self.methods]
+        firsts = offsets[:-1][filled] + np.arange(int(filled.sum()))
+        n = len(raw) + len(firsts)
+        own = np.ones(n + 8, bool)
+        own[firsts] = own[n:] = False
+        buf = np.full(n + 8, _SPACE, np.uint8)
+        buf[own] = raw
+        opens = np.zeros(n, bool)
+        opens[1:] = self.apart[(buf[: n - 1].astype(np.uint16) << 8) | buf[1:n]]
+        opens[firsts] = True
+        start = np.flatnonzero(opens)
+        end = np.append(start[1:], n)
+        h = _word_hashes(buf, start, end)
+        if len(self.known) > REMEMBERED or max(map(len, self.tokens)) > REMEMBERED_TOKENS:
+            self.clear()
+        word = self.find(h)
+        new = np.flatnonzero(word == 0)
+        if len(new):
+            distinct, sample = np.unique(h[new], return_index=True)
+            self.learn(buf, start[new[sample]], end[new[sample]], distinct)
+            word[new] = self.find(h[new])
+        edge = np.concatenate([[0], np.cumsum(filled)])
+        edge = np.append(np.searchsorted(start, firsts), len(start))[edge]
+        out = []
+        for begin, count, tokens in zip(self.begin, self.count, self.tokens, strict=True):
+            many = count[word]
+            total = np.concatenate([[0], np.cumsum(many)])
+            flat = np.repeat(begin[word] - total[:-1], many) + np.arange(total[-1])
+            out.append((tokens[flat], total[edge]))
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat tokens of all texts and the number of each text's."""
-        marked = [chr(MARK) + t.replace(" ", chr(MARK)) if t else "" for t in texts]
-        points = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in marked])]).astype(np.int64)
-        opens = np.zeros(len(points) + 1, bool)
-        opens[offsets] = True
-        if self.m.splits and len(points):
-            is_mark = points == MARK
-            opens[1:-1] |= is_mark[1:] & ~is_mark[:-1]
-        start = np.flatnonzero(opens[:-1])
-        if not len(start):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        end = np.append(start[1:], len(points))
-        h = span_hashes(points, start, end)
-        if len(self.known) > REMEMBERED or len(self.tokens) > REMEMBERED_TOKENS:
-            self.clear()
-        distinct, sample, word = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        new = np.ones(len(distinct), bool) if not len(self.known) else self.known[at] != distinct
-        if new.any():
-            self.learn(points, start[sample[new]], end[sample[new]], distinct[new])
-        at = np.searchsorted(self.known, distinct)[word]
-        begin, count = self.begin[at], self.count[at]
-        total = np.cumsum(count)
-        flat = np.repeat(begin - (total - count), count) + np.arange(total[-1])
-        doc = np.searchsorted(offsets, start, "right") - 1
-        return self.tokens[flat], np.bincount(doc, count, minlength=len(texts)).astype(np.int64)
+        """Flat tokens of all texts, by the first method, and the number of each text's."""
+        rows = [t.encode("utf-8", "replace") for t in texts]
+        tokens, edge = self.encode_rows(np.cumsum([0, *map(len, rows)]), np.frombuffer(b"".join(rows), np.uint8))[0]
+        return tokens, np.diff(edge)
+
+
+_OWN: dict[tuple[str, tuple[str, ...]], Encoder] = {}
+
+
+def _encoder(model: Model, methods: tuple[str, ...]) -> Encoder:
+    """The process's encoder of a model: words stay remembered from task to task where Spark reuses its workers."""
+    if (model.digest, methods) not in _OWN:
+        _OWN.clear()
+        _OWN[model.digest, methods] = Encoder(model, *methods)
+    return _OWN[model.digest, methods]
 
 
 def decode_ids(model: Model, ids: list[int] | np.ndarray) -> str:
@@ -329,9 +434,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     token_ids: the best path through the pieces of the model file by the sum of their scores; the text
     gets a space before it, spaces become U+2581, characters without a piece become their bytes'
     pieces (where the model has them, else the unknown id). merge_ids: what the merge order of a
-    BPE file gives, equal to its own library's. Words are encoded once per process and remembered;
-    no piece spans two words (checked when the file is read, else a text is one word). Words of up to LONG
-    code points advance together by length; longer ones, as in text without spaces, by
+    BPE file gives, equal to its own library's. Words, which end where two bytes follow each other that do so in
+    no piece, are encoded once per process and remembered (REMEMBERED at most, then anew), both ways from one lattice. Those of up to
+    LONG code points advance together, sorted by length; longer ones, as in text without spaces, by
     themselves, in time n log n and memory in proportion to their length.
 
     Null and empty texts have no tokens. Rows stand alone: repeated rows repeat; an empty table gives an
@@ -343,15 +448,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     names = ["id", "text", *(f"kept{i}" for i in range(len(keep_cols))), *fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = [Encoder(model, m) for m in methods]
+        encoder = _encoder(model, methods)
         for batch in batches:
             offsets, data = text_buffers(batch.column(1))
             for lo, hi in chunks(offsets, PIECE):
-                texts = [data[int(offsets[r]) : int(offsets[r + 1])].tobytes().decode("utf-8", "replace") for r in range(lo, hi)]
-                lists = []
-                for encoder in encoders:
-                    tokens, n = encoder.encode(texts)
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(tokens, pa.int32())))
+                coded = encoder.encode_rows(offsets[lo : hi + 1], data)
+                lists = [pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(tokens, pa.int32())) for tokens, edge in coded]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *lists], names=names)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept{i}") for i, c in enumerate(keep_cols)])

@@ -843,6 +843,29 @@ def test_long_words_equal_short_ones_and_take_seconds(monkeypatch):
         assert sp.decode_ids(m, ids) == big and time.time() - began < 60
 
 
+@needs_model
+def test_words_end_where_no_piece_goes_on_and_stay_known():
+    import pickle
+
+    m = sp.Model.load()
+    names = [f"{a}{b}" for a in ("the", "Gr\u00f6\u00dfe", "ing", "qu") for b in ("er", "ma", "\u65e5", "st")]
+    texts = ["".join(f" {a}.\n{b}" for a in names for b in names), *TEXTS]
+    e = sp.Encoder(m)
+    e.encode(texts[:1])
+    assert len(e.known) < 4 * len(names)  # not one word for each pair
+    both = sp._encoder(m, ("viterbi", "merges"))
+    assert sp._encoder(pickle.loads(pickle.dumps(m)), ("viterbi", "merges")) is both  # from task to task
+    rows = [t.encode() for t in texts] + [b"", b"a\xe2\x96", b"\x81b", b"x\xff\xed\xa0\x80 y", "\u2581a\u2581\u2581b \ufffd".encode()]
+    offsets, data = np.cumsum([0, *map(len, rows)]), np.frombuffer(b"".join(rows), np.uint8)
+    for k, method in enumerate(both.methods):
+        whole = sp.Encoder(m, method)
+        whole.apart[:] = False  # a text is one word
+        want, n = whole.encode([r.decode("utf-8", "replace") for r in rows])
+        for _ in range(2):
+            tokens, edge = both.encode_rows(offsets, data)[k]
+            assert tokens.tolist() == want.tolist() and np.diff(edge).tolist() == n.tolist()
+
+
 @needs_model
 def test_decode_of_odd_ids(spark):
     m = sp.Model.load()
